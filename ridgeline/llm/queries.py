@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.llm.bpe import encode_corpus
+from ridgeline.llm.lookalike import confusable_pairs, named_records, one_form
 from ridgeline.llm.neardup import same_rides
 from ridgeline.plans import Registry
 from ridgeline.session import load
@@ -14,3 +16,23 @@ registry = Registry()
 @registry.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_rides(load(spark, sf_dir, "library_routes"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named_records(load(spark, sf_dir, "library_routes"), load(spark, sf_dir, "poi"))
+
+
+@registry.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable_pairs(_names(spark, sf_dir))
+
+
+@registry.query("p4_forms")
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are not written in the form their look-alikes share."""
+    return one_form(_names(spark, sf_dir).select("tbl", "text")).where("text <> form")
+
+
+@registry.query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(load(spark, sf_dir, "documents"))
