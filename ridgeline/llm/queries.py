@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.bpe import encode_corpus
+from ridgeline.llm.canonical import place_categories
 from ridgeline.llm.lookalike import confusable_pairs, named_records, one_form
 from ridgeline.llm.neardup import same_rides
 from ridgeline.plans import Registry
@@ -36,3 +37,8 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
+
+
+@registry.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_categories(load(spark, sf_dir, "poi"), load(spark, sf_dir, "poi_categories"))
