@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.bpe import encode_corpus
 from ridgeline.llm.canonical import place_categories
+from ridgeline.llm.leaks import leaked_items
 from ridgeline.llm.lookalike import confusable_pairs, named_records, one_form
 from ridgeline.llm.neardup import same_rides
 from ridgeline.plans import Registry
@@ -42,3 +43,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_categories(load(spark, sf_dir, "poi"), load(spark, sf_dir, "poi_categories"))
+
+
+@registry.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).where("kind = 'quoted'").select("doc_id", "item_id")
+
+
+@registry.query("p8_reparameterised")
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the template of a passage and other, consistent, slot values."""
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).where("kind = 'reparameterised'").select("doc_id", "item_id")
