@@ -9,6 +9,7 @@ from ridgeline.llm.canonical import place_categories
 from ridgeline.llm.leaks import leaked_items
 from ridgeline.llm.lookalike import confusable_pairs, named_records, one_form
 from ridgeline.llm.neardup import same_rides
+from ridgeline.llm.subjects import composition, subjects_of
 from ridgeline.plans import Registry
 from ridgeline.session import load
 
@@ -54,3 +55,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the template of a passage and other, consistent, slot values."""
     return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).where("kind = 'reparameterised'").select("doc_id", "item_id")
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(*(load(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples")))
+
+
+@registry.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+@registry.query("p9_composition")
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composition(_subjects(spark, sf_dir))
