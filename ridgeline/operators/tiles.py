@@ -101,30 +101,59 @@ def inner_tiles(tiles: DataFrame) -> DataFrame:
     return near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n = 5 AND own").select("x", "y")
 
 
-def clusters(tiles: DataFrame, most_rounds: int = 64) -> DataFrame:
+BLOCK = 512
+_SHIFT = 1 << 20
+
+
+def _block_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """4-connected components of the tiles of one block (at most BLOCK**2): label each tile by its component's least key."""
+    keys = np.sort((pdf["x"].to_numpy(np.int64) * _SHIFT + pdf["y"].to_numpy(np.int64)))
+    label = np.arange(len(keys))
+    links = []
+    for step in (1, _SHIFT):
+        at = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+        (hit,) = np.nonzero(keys[at] == keys + step)
+        links.append((hit, at[hit]))
+    a, b = (np.concatenate(v) for v in zip(*links, strict=True))
+    while True:  # least labels over links, then labels of labels
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    return pd.DataFrame({"x": (keys // _SHIFT).astype(np.int32), "y": (keys % _SHIFT).astype(np.int32), "label": keys[label]})
+
+
+def clusters(tiles: DataFrame) -> DataFrame:
     """(cluster_x, cluster_y, size) of 4-connected groups of inner tiles, named by their least tile.
 
-    Least labels spread to neighbours and jump to their label's label, so rounds grow with the logarithm of a group's width; lineage is
-    cut by a reliable checkpoint each round.
+    Components are found inside blocks of the grid, a bounded group each; only components that touch across block borders are then
+    merged, by least labels over that small graph, its lineage cut by a reliable checkpoint each round.
     """
-    key = F.struct("x", "y")
-    state = cut(inner_tiles(tiles).select("x", "y", key.alias("label")))
-    shift = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    for _ in range(most_rounds):
-        sent = state.select("label", shift.alias("s"), "x", "y").select((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "label")
-        best = sent.groupBy("x", "y").agg(F.min("label").alias("least"))
-        spread = state.join(best, ["x", "y"])
-        labels = spread.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("least").alias("jump"))
-        nxt = (
-            spread.join(labels, (F.col("least.x") == F.col("lx")) & (F.col("least.y") == F.col("ly")), "left")
-            .select("x", "y", F.least("least", F.coalesce("jump", "least")).alias("new"), "label")
-        )
-        done = cut(nxt)
-        changed = done.where("new <> label").limit(1).count()
-        state = done.select("x", "y", F.col("new").alias("label"))
-        if not changed:
+    blocked = inner_tiles(tiles).groupBy(F.floor(F.col("x") / BLOCK).alias("bx"), F.floor(F.col("y") / BLOCK).alias("by"))
+    local = cut(blocked.applyInPandas(_block_components, "x int, y int, label long"))
+    sizes = local.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    pairs = []
+    for x, y in ((1, 0), (0, 1)):
+        edge = local.where((F.col("x") + 1) % BLOCK == 0) if x else local.where((F.col("y") + 1) % BLOCK == 0)
+        other = local.select((F.col("x") - x).alias("x"), (F.col("y") - y).alias("y"), F.col("label").alias("to"))
+        pairs.append(edge.join(other, ["x", "y"]).select("label", "to").where("label <> to"))
+    links = pairs[0].unionByName(pairs[1]).distinct()
+    links = cut(links.unionByName(links.select(F.col("to").alias("label"), F.col("label").alias("to"))).distinct())
+    state = cut(links.select("label").distinct().withColumn("least", F.col("label")))
+    while True:
+        sent = links.join(state.select(F.col("label").alias("to"), F.col("least").alias("theirs")), "to").groupBy("label").agg(F.min("theirs").alias("theirs"))
+        nxt = cut(state.join(sent, "label").select("label", F.least("least", "theirs").alias("least"), (F.col("theirs") < F.col("least")).alias("moved")))
+        state = nxt.select("label", "least")
+        if not nxt.where("moved").limit(1).count():
             break
-    return state.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(F.col("label.x").alias("cluster_x"), F.col("label.y").alias("cluster_y"), "size")
+    merged = sizes.join(state, "label", "left").groupBy(F.coalesce("least", "label").alias("cluster")).agg(F.sum("n").alias("size"))
+    return merged.select(F.floor(F.col("cluster") / _SHIFT).cast("int").alias("cluster_x"), (F.col("cluster") % _SHIFT).cast("int").alias("cluster_y"), "size")
 
 
 def _square(pdf: pd.DataFrame) -> pd.DataFrame:
