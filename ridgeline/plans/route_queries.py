@@ -134,3 +134,14 @@ def train_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_robin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "library_routes").where("activity IS NOT NULL AND distance_km IS NOT NULL").select(F.lower(F.trim("activity")).alias("pattern"), "id", F.col("distance_km").alias("cost")).distinct()
     return C.round_robin(c, 8)
+
+
+@registry.query("gpx_roundtrip", LINES + "SELECT id, generate_subscripts(geometry, 1) - 1 AS seq, floor(unnest(geometry).lat * 1e6 + 0.5) AS lat_e6 FROM lines")
+def gpx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as GPX documents and parsed again."""
+    from ridgeline.operators.track import route_points
+    from ridgeline.sources.trackfiles import gpx_texts, track_points
+
+    p = route_points(lines_of(spark, sf_dir)).select("id", F.col("id").cast("string").alias("name"), "seq", "lat", "lon", F.lit(None).cast("double").alias("ele"))
+    files = gpx_texts(p).select(F.col("id").cast("string").alias("path"), F.encode("gpx", "UTF-8").alias("content"))
+    return track_points(files).select(F.col("path").cast("bigint").alias("id"), "seq", F.floor(F.col("lat") * 1e6 + 0.5).alias("lat_e6"))
