@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import geo
 from ridgeline.operators.near_points import usable_position
 from ridgeline.operators.track import metric_segments
+from ridgeline.session import shuffle_partitions
 
 
 def metric_points(points: DataFrame, *keep: str) -> DataFrame:
@@ -131,49 +132,42 @@ def places_near_leg(places: DataFrame, a: tuple[float, float], b: tuple[float, f
 
 
 def _within(a: np.ndarray, b: np.ndarray, tol: float) -> float:
-    """Length of a within ``tol`` of b: the union, per segment of a, of the stretches inside each capsule around a segment of b."""
-    total = 0.0
+    """Length of a within ``tol`` of b: the union, per segment of a, of its stretches inside the discs and strips around b."""
+    step = max(1, 200_000 // len(b))
+    return sum(_within_part(a[low : low + step + 1], b, tol) for low in range(0, len(a) - 1, step))
+
+
+def _within_part(a: np.ndarray, b: np.ndarray, tol: float) -> float:
+    p, v = a[:-1, None, :], np.diff(a, axis=0)[:, None, :]
+    m2 = np.maximum((v**2).sum(axis=2), 1e-18)
+    # discs around the points of b: roots of |p + t v - c| = tol
+    w = p - b[None]
+    half, c = (w * v).sum(axis=2) / m2, ((w**2).sum(axis=2) - tol * tol) / m2
+    root = np.sqrt(np.maximum(half * half - c, 0))
+    some = half * half >= c
+    low, high = np.where(some, -half - root, 0), np.where(some, -half + root, 0)
+    # strips along the segments of b: two slabs
     q, d = b[:-1], np.diff(b, axis=0)
     length = np.hypot(d[:, 0], d[:, 1])
-    unit = d / np.where(length > 0, length, 1)[:, None]
-    for p0, p1 in zip(a[:-1], a[1:], strict=True):
-        v = p1 - p0
-        m = float(np.hypot(*v))
-        if m == 0:
-            continue
-        low, high = [], []
-        for centre in (b,):
-            # inside the discs around the points of b: roots of |p0 + t v - c| = tol
-            w = p0 - centre
-            half, c = (w @ v) / (m * m), ((w**2).sum(axis=1) - tol * tol) / (m * m)
-            root = half * half - c
-            ok = root >= 0
-            s = np.sqrt(root[ok])
-            low.append(-half[ok] - s)
-            high.append(-half[ok] + s)
-        # inside the rectangles along the segments of b: two slabs
-        ok = length > 0
-        along0, across0 = ((p0 - q) * unit).sum(axis=1), (p0[0] - q[:, 0]) * -unit[:, 1] + (p0[1] - q[:, 1]) * unit[:, 0]
-        along_v, across_v = unit @ v, v[1] * unit[:, 0] - v[0] * unit[:, 1]
-        t0, t1 = np.full(len(q), -np.inf), np.full(len(q), np.inf)
-        for start, speed, lo, hi in ((along0, along_v, 0.0, length), (across0, across_v, -tol, tol)):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                x, y = (lo - start) / speed, (hi - start) / speed
-            still = np.abs(speed) < 1e-12
-            inside = (start >= lo) & (start <= hi)
-            t0 = np.maximum(t0, np.where(still, np.where(inside, -np.inf, np.inf), np.minimum(x, y)))
-            t1 = np.minimum(t1, np.where(still, np.where(inside, np.inf, -np.inf), np.maximum(x, y)))
-        ok &= t0 < t1
-        low.append(t0[ok])
-        high.append(t1[ok])
-        begin, end = np.clip(np.concatenate(low), 0, 1), np.clip(np.concatenate(high), 0, 1)
-        keep = end > begin
-        if keep.any():
-            order = np.argsort(begin[keep])
-            begin, end = begin[keep][order], np.maximum.accumulate(end[keep][order])
-            gap = np.r_[0.0, np.maximum(0.0, begin[1:] - end[:-1])].sum()
-            total += (end[-1] - begin[0] - gap) * m
-    return total
+    u = d / np.where(length > 0, length, 1)[:, None]
+    o = p - q[None]
+    t0, t1 = np.full(o.shape[:2], -np.inf), np.full(o.shape[:2], np.inf)
+    along = (o[..., 0] * u[:, 0] + o[..., 1] * u[:, 1], v[..., 0] * u[:, 0] + v[..., 1] * u[:, 1], 0.0, length)
+    across = (o[..., 1] * u[:, 0] - o[..., 0] * u[:, 1], v[..., 1] * u[:, 0] - v[..., 0] * u[:, 1], -tol, tol)
+    for start, speed, lo, hi in (along, across):
+        still = np.abs(speed) < 1e-12
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x, y = (lo - start) / speed, (hi - start) / speed
+        inside = (start >= lo) & (start <= hi)
+        t0 = np.maximum(t0, np.where(still, np.where(inside, -np.inf, np.inf), np.minimum(x, y)))
+        t1 = np.minimum(t1, np.where(still, np.where(inside, np.inf, -np.inf), np.maximum(x, y)))
+    real = (t0 < t1) & (length > 0)
+    begin = np.clip(np.concatenate([low, np.where(real, t0, 0)], axis=1), 0, 1)
+    end = np.clip(np.concatenate([high, np.where(real, t1, 0)], axis=1), 0, 1)
+    order = np.argsort(begin, axis=1)
+    begin, end = np.take_along_axis(begin, order, 1), np.maximum.accumulate(np.take_along_axis(end, order, 1), axis=1)
+    gaps = np.maximum(0, begin[:, 1:] - end[:, :-1]).sum(axis=1)
+    return float(((end[:, -1] - begin[:, 0] - gaps) * np.sqrt((v[:, 0] ** 2).sum(axis=1))).sum())
 
 
 def _closest(a: np.ndarray, b: np.ndarray) -> float:
@@ -245,7 +239,9 @@ def proximity_pairs(routes: DataFrame, metres: float) -> DataFrame:
     left = line.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     right = line.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
     joined = candidates.join(left, "a_id").join(right, "b_id").select("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")
-    return joined.mapInPandas(lambda it: _judge_pairs(metres, it), PAIR)
+    # rows are small but dear: a fixed number of partitions, which AQE does not coalesce by their bytes
+    spread = joined.repartition(4 * shuffle_partitions(routes.sparkSession), "a_id", "b_id")
+    return spread.mapInPandas(lambda it: _judge_pairs(metres, it), PAIR)
 
 
 def similar_to(probe: tuple[list[float], list[float]], routes: DataFrame, metres: float = 50.0, overlap: float = 0.85) -> DataFrame:

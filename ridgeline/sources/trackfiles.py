@@ -223,16 +223,22 @@ def parse_file(content: bytes, entry: str = "") -> Iterator[tuple[str, str, list
 
 def _track_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in POINTS.split(", ")]
+    frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"track_index": "Int32", "seq": "Int32", "lat": "float64", "lon": "float64", "ele": "float64"})
+    rows: list[tuple] = []
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows: list[tuple] = []
+            kept = len(rows)
             try:
                 for entry, kind, tracks in parse_file(bytes(content)):
                     for n, (name, points) in enumerate(tracks):
                         rows += [(path, entry, kind, n, name, i, a, o, e, None) for i, (a, o, e) in enumerate(points)]
             except Exception as error:  # noqa: BLE001 - any unreadable file is a row with its error
+                del rows[kept:]
                 rows.append((path, "", None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:300]))
-            yield pd.DataFrame(rows, columns=columns).astype({"track_index": "Int32", "seq": "Int32", "lat": "float64", "lon": "float64", "ele": "float64"})
+            if len(rows) >= 50_000:
+                yield frame(rows)
+                rows = []
+    yield frame(rows)
 
 
 def track_points(files: DataFrame) -> DataFrame:
