@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions.text import normalise_tags
+from ridgeline.session import cut
 
 SORTABLE = ("name", "distance_km", "elevation_gain_m", "paved_pct", "quality_rating", "source_name", "imported_at", "is_loop", "activity")
 ACTIVITIES = ("gravel", "road", "mtb", "hiking")
@@ -125,6 +126,21 @@ def list_routes(routes: DataFrame, wanted: RouteFilter, **joins: DataFrame) -> D
     return filter_routes(routes, wanted, **joins).orderBy(*wanted.ordering())
 
 
+def positions(routes: DataFrame, wanted: RouteFilter, **joins: DataFrame) -> DataFrame:
+    """(position, id, name): every filtered route with its place, from 1, in the whole order.
+
+    A range-partitioned sort, checkpointed so that its partitions stay as they are; only their sizes come to the driver.
+    """
+    at = F.monotonically_increasing_id()  # partition number in the upper bits, row of the partition in the lower 33
+    numbered = cut(list_routes(routes, wanted, **joins).select("id", "name")).withColumn("at", at).withColumn("partition", F.shiftrightunsigned("at", 33))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, numbered.groupBy("partition").count().collect())):
+        before.append((part, total))
+        total += n
+    offsets = F.broadcast(routes.sparkSession.createDataFrame(before, "partition long, before long"))  # one row a partition
+    return numbered.join(offsets, "partition").select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("position"), "id", "name")
+
+
 def source_facets(routes: DataFrame) -> DataFrame:
     return routes.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.count(F.lit(1)).alias("routes"))
 
