@@ -6,6 +6,7 @@ predicate follows. Catalyst has no spatial join; as an inequality join it would
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import geo
 from ridgeline.operators.near_points import usable_position
 from ridgeline.operators.track import metric_segments
-from ridgeline.session import shuffle_partitions
+from ridgeline.session import cut, shuffle_partitions
 
 
 def metric_points(points: DataFrame, *keep: str) -> DataFrame:
@@ -267,3 +268,110 @@ def similar_to(probe: tuple[list[float], list[float]], routes: DataFrame, metres
 
     lines = routes.where(near & (F.size("geometry") >= 2)).select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"))
     return lines.mapInPandas(judge, "other_id long, a_in_b double, b_in_a double, very_similar boolean")
+
+
+PROBED = "probe_id long, other_id long, a_in_b double, b_in_a double, very_similar boolean"
+PIECE_M = 100.0
+SIMILAR_CELL_M = 1000.0
+SIMILAR_BITS = 128
+#: Least metres that a flagged bit holds, of which the one that rules out most is taken.
+HELD_M = (2000.0, 1000.0, 700.0, 500.0, 300.0, 100.0)
+
+
+def _around(xy: np.ndarray, reach: float) -> np.ndarray:
+    """Cells of the corners of the boxes around places, (places, 4); no more cells meet a box smaller than a cell."""
+    corners = xy[:, None, :] + reach * np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)])
+    at = np.floor(corners / SIMILAR_CELL_M).astype(np.int64)
+    return at[..., 0] * (1 << 20) + at[..., 1]
+
+
+def _bits(cells: np.ndarray) -> np.ndarray:
+    return ((cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIMILAR_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _pieces(lat, lon) -> tuple[np.ndarray, float]:
+    """Middles of equal pieces of at most PIECE_M, and the length of a piece."""
+    line = _metric(lat, lon)
+    s = np.r_[0.0, np.cumsum(np.hypot(*np.diff(line, axis=0).T))]
+    n = max(1, math.ceil(s[-1] / PIECE_M))
+    t = (np.arange(n) + 0.5) * s[-1] / n
+    return np.column_stack([np.interp(t, s, line[:, 0]), np.interp(t, s, line[:, 1])]), float(s[-1] / n)
+
+
+def _line_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every cell that a line touches, with a bitmap of them all."""
+    for pdf in batches:
+        ids, cells, words = [], [], []
+        for i, la, lo in zip(pdf["id"], pdf["lat"], pdf["lon"], strict=True):
+            own = np.unique(_around(_pieces(la, lo)[0], PIECE_M / 2))
+            flags = np.zeros(SIMILAR_BITS, dtype=bool)
+            flags[_bits(own)] = True
+            ids.append(np.full(len(own), i))
+            cells.append(own)
+            words.append(np.tile(np.packbits(flags, bitorder="little").view(np.int64), (len(own), 1)))
+        if ids:
+            w = np.concatenate(words)
+            yield pd.DataFrame({"cell": np.concatenate(cells), "id": np.concatenate(ids), "s0": w[:, 0], "s1": w[:, 1]})
+
+
+def _rare_part(often: dict[int, int], metres: float, share: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells about the pieces in the least used places that make up more of a line than may be off, and a bitmap of where it is long.
+
+    A line that is covered for the share has a piece of these within the distance of the other, which then touches one of the cells.
+    """
+    for pdf in batches:
+        rows = []
+        for i, la, lo in zip(pdf["id"], pdf["lat"], pdf["lon"], strict=True):
+            xy, piece = _pieces(la, lo)
+            if not piece:
+                continue
+            near = _around(xy, PIECE_M / 2 + metres)
+            used = np.array([often.get(c, 0) for c in near.ravel().tolist()]).reshape(near.shape).max(axis=1)
+            may = math.floor((1 - share) * len(xy) + 1e-9)
+            rare = np.unique(near[np.argsort(used, kind="stable")[: may + 1]])
+            # a piece counts for a bit where its box lies in one cell only
+            inner = near[(near == near[:, :1]).all(axis=1), 0]
+            held = np.bincount(_bits(inner), minlength=SIMILAR_BITS) * piece
+            off = (1 - share) * piece * len(xy) + 1e-6
+            least = max(HELD_M, key=lambda m: m * (held >= m).sum() - m * (off // m))
+            h = np.packbits(held >= least, bitorder="little").view(np.int64)
+            rows += [(c, i, int(off // least), h[0], h[1]) for c in rare.tolist()]
+        yield pd.DataFrame(rows, columns=["cell", "id", "off", "h0", "h1"]).astype({"cell": "int64", "id": "int64", "off": "int32", "h0": "int64", "h1": "int64"})
+
+
+def _judge_probes(metres: float, overlap: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for i, j, ala, alo, bla, blo in zip(*(pdf[c] for c in ("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")), strict=True):
+            a, b = _metric(ala, alo), _metric(bla, blo)
+            x, y = (round(_within(p, q, metres) / float(np.hypot(*np.diff(p, axis=0).T).sum()), 3) for p, q in ((a, b), (b, a)))
+            if max(x, y) >= overlap:
+                rows.append((i, j, x, y, min(x, y) >= overlap))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROBED.split(", ")]).astype({"probe_id": "int64", "other_id": "int64", "a_in_b": "float64", "b_in_a": "float64", "very_similar": "bool"})
+
+
+def similar_to_each(probes: DataFrame, routes: DataFrame, metres: float = 50.0, overlap: float = 0.85) -> DataFrame:
+    """(probe_id, other_id, a_in_b, b_in_a, very_similar): ``similar_to`` for every row of ``probes`` against all other ``routes``.
+
+    Both are (id, geometry) of usable lines. Candidates of each direction by an equi-join of the rare part of the line to be covered with all
+    cells of the other, and a bound of the covered length by bitmaps; neither leaves out a pair that the exact geometry accepts.
+    """
+    share = overlap - 0.0006  # shares are rounded to three digits before they are held against the overlap
+    lat_lon = lambda df: df.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"))
+    moves = F.exists("geometry", lambda p: (p["lat"] != F.col("geometry")[0]["lat"]) | (p["lon"] != F.col("geometry")[0]["lon"]))
+    some, all_lines = (cut(lat_lon(df.where(moves))) for df in (probes, routes))
+    all_cells, some_cells = (df.mapInPandas(_line_cells, "cell long, id long, s0 long, s1 long") for df in (all_lines, some))
+    # how often cells are used only orders them: one number a cell of the map, counted on a part of the lines
+    counted = all_lines.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).mapInPandas(_line_cells, "cell long, id long, s0 long, s1 long")
+    often = routes.sparkSession.sparkContext.broadcast(dict(map(tuple, counted.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(200_000).collect())))
+
+    def covered(lines: DataFrame, by: DataFrame, one: str, other: str) -> DataFrame:
+        rare = lines.mapInPandas(lambda it: _rare_part(often.value, metres, share, it), "cell long, id long, off int, h0 long, h1 long").withColumnRenamed("id", one)
+        apart = sum(F.bit_count(F.col(f"h{w}").bitwiseAND(F.bitwise_not(f"s{w}"))) for w in range(SIMILAR_BITS // 64))
+        return rare.join(by.withColumnRenamed("id", other), "cell").where((F.col("a_id") != F.col("b_id")) & (apart <= F.col("off"))).select("a_id", "b_id")
+
+    candidates = covered(some, all_cells, "a_id", "b_id").unionByName(covered(all_lines, some_cells, "b_id", "a_id")).distinct()
+    left, right = (df.select(F.col("id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon")) for df, k in ((some, "a"), (all_lines, "b")))
+    joined = candidates.join(left, "a_id").join(right, "b_id").select("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")
+    spread = joined.repartition(4 * shuffle_partitions(routes.sparkSession), "a_id", "b_id")
+    return spread.mapInPandas(lambda it: _judge_probes(metres, overlap, it), PROBED)

@@ -242,6 +242,13 @@ def similar_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similar_to(([p["lat"] for p in first[0]], [p["lon"] for p in first[0]]), routes_of(spark, sf_dir))
 
 
+@registry.query("similar_to_set")
+def similar_to_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set of searches: every route whose id is divisible by 20, against all routes."""
+    lines = lines_of(spark, sf_dir).select("id", "geometry")
+    return S.similar_to_each(lines.where("id % 20 = 0"), lines)
+
+
 @registry.query("route_statistics")
 def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_of(spark, sf_dir)
