@@ -1,9 +1,10 @@
 """Mapping free-entered values to a canonical list.
 
-A prefix-filter set-similarity join between the distinct values typed and the names in the list. The set of a text is its
-letters (numbered when repeated) and letter pairs, without blanks; tokens are ordered by global rarity, only the rare
-prefix that two similar sets must share is joined, with the length and positional filters; Jaccard similarity is verified exactly. An
-edit-distance check scaled to the length then decides, and the best entry is kept; values without one are unmatched.
+A prefix-filter join between the distinct values typed and the names in the list, on their letters (numbered when repeated) without
+blanks. k edits leave all but k of a text's letters, in whatever order of words; so of the k + 1 rarest letters of either one is among
+those of the other, and only these are joined, with the count of common letters verified: nothing that the edits allow is dropped.
+An edit-distance check scaled to the length then decides, and the best entry is kept, of equal ones the one with the higher Jaccard
+similarity of letters and letter pairs; values without one are unmatched. ``similar_entries`` is the join by Jaccard similarity alone.
 """
 
 from __future__ import annotations
@@ -96,6 +97,11 @@ def _nearness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(edits=pd.array(distance, dtype="Int32"))
 
 
+def _allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"name": pdf["name"], "tokens": pdf["tokens"], "most": [allowed_edits(n, c) for n, c in zip(pdf["name"], pdf["code"], strict=True)]}).astype({"most": "int32"})
+
+
 def _prefix(tokens: Column, similarity: float) -> Column:
     n = F.size(tokens)
     return F.slice(tokens, F.lit(1), n - F.ceil(F.lit(similarity) * n).cast("int") + 1)
@@ -131,7 +137,40 @@ def similar_entries(values: DataFrame, names: DataFrame, similarity: float = SIM
     )
 
 
-def canonical_values(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def numbered_letters(words: str) -> list[str]:
+    """The letters of the text without blanks, numbered."""
+    seen: Counter[str] = Counter()
+    out = []
+    for c in words.replace(" ", ""):
+        seen[c] += 1
+        out.append(f"{c}{seen[c]}")
+    return out
+
+
+def _with_letters(key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(letters=[numbered_letters(x) for x in pdf[key]])
+
+
+def near_entries(values: DataFrame, names: DataFrame) -> DataFrame:
+    """(reading, name, jaccard) of all readings and names that the allowed edits of the name can lead to; (key, tokens) of distinct keys, names with ``most``."""
+    left = values.mapInPandas(lambda it: _with_letters("reading", it), "reading string, tokens array<string>, letters array<string>")
+    right = names.mapInPandas(lambda it: _with_letters("name", it), "name string, tokens array<string>, most int, letters array<string>")
+    counts = left.select(F.explode("letters").alias("token")).unionByName(right.select(F.explode("letters").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    most = max(map(allowed_edits, ("", "x" * 4, "x" * 6, "x" * 11)))
+    order = lambda rows, key: _ranked(rows.select(key, F.col("letters").alias("tokens")), key, counts).withColumnRenamed("tokens", "rarest")
+    a = left.join(order(left, "reading"), "reading").select("reading", F.col("tokens").alias("a_tokens"), F.col("letters").alias("a_letters"), F.posexplode(F.slice("rarest", 1, most + 1)).alias("a_pos", "token"))
+    b = right.join(order(right, "name"), "name").select("name", "most", F.col("tokens").alias("b_tokens"), F.col("letters").alias("b_letters"), F.posexplode(F.slice("rarest", F.lit(1), F.col("most") + 1)).alias("b_pos", "token"))
+    common = F.size(F.array_intersect("a_letters", "b_letters"))
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    possible = (F.col("a_pos") <= F.col("most")) & (F.abs(F.size("a_letters") - F.size("b_letters")) <= F.col("most"))
+    return (
+        a.join(b, "token").where(possible).dropDuplicates(["reading", "name"]).where(common >= F.greatest(F.size("a_letters"), F.size("b_letters")) - F.col("most"))
+        .select("reading", "name", (shared / (F.size("a_tokens") + F.size("b_tokens") - shared)).alias("jaccard"))
+    )
+
+
+def canonical_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, entry): for each distinct non-blank ``values.value`` the id of the entry meant, or ``unmatched``.
 
     ``entries`` is (entry, names): the id and its other names (null names are skipped). Fewest edits win, then the higher similarity, then
@@ -145,7 +184,8 @@ def canonical_values(values: DataFrame, entries: DataFrame, similarity: float =
         listed.select("value").distinct().mapInPandas(lambda it: _with_tokens(it, 1), "value string, reading string, tokens array<string>")
         .join(listed, "value").groupBy("entry", F.col("reading").alias("name")).agg(F.min("tokens").alias("tokens"), F.min("code").alias("code"))
     )
-    near = similar_entries(wanted.select("reading", "tokens").distinct(), named.select("name", "tokens").distinct(), similarity)
+    allowed = named.groupBy("name").agg(F.min("tokens").alias("tokens"), F.min("code").alias("code")).mapInPandas(_allowed, "name string, tokens array<string>, most int")
+    near = near_entries(wanted.select("reading", "tokens").distinct(), allowed)
     judged = (
         near.join(named.select("name", "entry", "code"), "name").mapInPandas(_nearness, "name string, reading string, jaccard double, entry string, code boolean, edits int")
         .where(F.col("edits").isNotNull())
