@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +132,9 @@ def _partial(components, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
     for pdf in batches:
         for begin in range(0, len(pdf), 512):
             total += Rows(pdf["text"].iloc[begin : begin + 512].tolist()).sums(h)
-    yield pd.DataFrame({"component": np.arange(len(h), dtype=np.int32), "part": np.random.default_rng().integers(0, 8, len(h)).astype(np.int32), "sums": [x.astype(np.float32).tobytes() for x in total]})
+    # a recomputed task sends its sums to the same keys
+    part = np.int32(TaskContext.get().partitionId() % 8)
+    yield pd.DataFrame({"component": np.arange(len(h), dtype=np.int32), "part": np.full(len(h), part), "sums": [x.astype(np.float32).tobytes() for x in total]})
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
