@@ -40,7 +40,7 @@ v AS (SELECT *, CASE WHEN file_name LIKE '2%' THEN regexp_extract(f1, '(?i)\A[ \
   file_name LIKE '2%' AND regexp_matches(f1, '(?i)\A[ \t]*POINT[ \t]*Z') AS upright FROM f),
 w AS (SELECT *, [x FOR x IN [lat, lon] IF regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')] AS nums, z = '' OR regexp_full_match(z, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AS zok FROM v),
 p AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 3 THEN 'columns'
-  WHEN len(nums) = 2 AND zok AND NOT (upright AND z = '') AND coalesce(abs(try_cast(lat AS DOUBLE)) <= 90 AND abs(try_cast(lon AS DOUBLE)) <= 180, false) THEN NULL ELSE 'value' END AS reason,
+  WHEN len(nums) = 2 AND zok AND upright = (z <> '') AND coalesce(abs(try_cast(lat AS DOUBLE)) <= 90 AND abs(try_cast(lon AS DOUBLE)) <= 180, false) THEN NULL ELSE 'value' END AS reason,
   file_name, replace(CASE WHEN file_name LIKE '2%' THEN f2 ELSE f1 END, '""', '"') AS name, try_cast(lat AS DOUBLE) AS lat, try_cast(lon AS DOUBLE) AS lon FROM w)
 """
 
