@@ -1,12 +1,13 @@
 """References to records that do not exist.
 
 Keys of each reference field are dictionary-encoded to dense integers per key range; per range and
-period two compressed bitmaps are held - keys referred to, keys of records that are certainly there
-by that period - and ``references AND-NOT records`` leaves the bits that are decoded back to keys.
+period compressed bitmaps are held - keys referred to, keys of records that were there before the period, keys of
+records there by their first reference in it - and ``references AND-NOT records`` leaves the bits that are decoded back to
+keys: every key that is missing or deleted, and those of which some reference in the period was too early.
 Only those survivors are joined back to the single references for the exact reason.
 
 Skew: references are made distinct per (key, period) before any shuffle, so a key that a third of all
-rows refer to costs one row per period; the join back is salted by the referring row.
+rows refer to costs one row per period; the join back is salted where a key has more than HOT references.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.session import shuffle_partitions
+from ridgeline.session import cut, shuffle_partitions
 
 #: Period number of references whose time is unknown: later than all others, so that only absence or deletion is found.
 UNKNOWN_PERIOD = 2**31 - 1
-#: Records known from the beginning (no own time).
-ALWAYS = -(2**31)
-SALTS = 16
+#: Microseconds of records that are there from the beginning (no own time), or never.
+ALWAYS, NEVER = -(2**62), 2**62
+#: Rows of a bitmap group; more key ranges are made as the tables grow.
+GROUP_ROWS = 200_000
+#: References of one key and period that a task may join; more are salted.
+HOT = 100_000
 ARRAY_LIMIT = 4096
 
 
@@ -77,24 +81,49 @@ class CompressedBitmap:
                     out[high] = self._pack(left)
         return CompressedBitmap(out)
 
+    def union(self, other: CompressedBitmap) -> CompressedBitmap:
+        out = dict(self.chunks)
+        for high, theirs in other.chunks.items():
+            mine = out.get(high)
+            if mine is None:
+                out[high] = theirs
+            elif mine.dtype == np.uint64 and theirs.dtype == np.uint64:
+                out[high] = mine | theirs
+            else:
+                out[high] = self._pack(np.union1d(self._low(mine), self._low(theirs)))
+        return CompressedBitmap(out)
+
     def decode(self) -> np.ndarray:
         parts = [(high << 16) + self._low(chunk).astype(np.int64) for high, chunk in sorted(self.chunks.items())]
         return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
 
 
 def _surviving_bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One key range: encode keys, build bitmaps per period, AND-NOT, decode."""
+    """One key range: encode keys, build bitmaps per period, AND-NOT, decode.
+
+    A record is there for the references of a period if it was there before the period began (one bitmap, grown from period to
+    period) or, within the period, by the time of the first reference to it (a bitmap of the period).
+    """
     keys, codes = np.unique(pdf["ref_key"].to_numpy(dtype=object).astype(str), return_inverse=True)
     is_ref = pdf["is_ref"].to_numpy(dtype=bool)
     period = pdf["period_no"].to_numpy(dtype=np.int64)
-    there_from = pdf["there_from"].to_numpy(dtype=np.float64)  # NaN: never certain
+    first = pdf["first_time"].to_numpy(dtype=np.int64)
     info = pdf.loc[~is_ref, ["has_record", "own_time", "deleted_at"]].set_axis(codes[~is_ref])
+    there_from = np.full(len(keys), NEVER)
+    there_from[codes[~is_ref]] = first[~is_ref]
+    there_period = np.full(len(keys), UNKNOWN_PERIOD + 1)
+    there_period[codes[~is_ref]] = period[~is_ref]
     found: list[pd.DataFrame] = []
-    available = ~is_ref & ~np.isnan(there_from)
-    for p in np.unique(period[is_ref]):
-        referred = CompressedBitmap.of(codes[is_ref & (period == p)])
-        present = CompressedBitmap.of(codes[available & (there_from <= p)])
-        left = referred.and_not(present).decode()
+    before = CompressedBitmap({})
+    added = -1
+    ref_periods = np.unique(period[is_ref])
+    for p in ref_periods:
+        before = before.union(CompressedBitmap.of(np.flatnonzero((there_period > added) & (there_period < p))))
+        added = p - 1
+        mine = is_ref & (period == p)
+        referred = CompressedBitmap.of(codes[mine])
+        in_time = CompressedBitmap.of(codes[mine][there_from[codes[mine]] <= first[mine]])
+        left = referred.and_not(before).and_not(in_time).decode()
         if len(left):
             found.append(pd.DataFrame({"code": left, "period_no": int(p)}))
     columns = ["field", "ref_key", "period_no", "has_record", "own_time", "deleted_at"]
@@ -121,14 +150,14 @@ def orphan_references(references: DataFrame, records: DataFrame, deletions: Data
     Returns (owner_id, field, ref, reason, period); ``reason`` is missing, deleted or late; ``period`` is yyyy-MM or null.
     Other columns of the inputs are ignored whatever their names.
     """
-    spark = references.sparkSession
-    ranges = ranges or 4 * shuffle_partitions(spark)
     refs = (
         references.where(F.col("ref_key").isNotNull())
         .select("owner_id", "field", "ref_key", "ref_time", period_number(F.col("ref_time")).alias("period_no"))
         .distinct()
     )
-    wanted = refs.groupBy("field", "ref_key", "period_no").agg(F.lit(True).alias("is_ref"))
+    # an unknown time is later than all others, so that only absence or deletion is found
+    when = F.coalesce(F.unix_micros("ref_time"), F.lit(NEVER - 1))
+    wanted = cut(refs.groupBy("field", "ref_key", "period_no").agg(F.min(when).alias("first_time"), F.count(F.lit(1)).alias("n")))
     # one row per key of the records and deletions: what is needed to judge it
     known = (
         records.where(F.col("ref_key").isNotNull())
@@ -142,14 +171,17 @@ def orphan_references(references: DataFrame, records: DataFrame, deletions: Data
         .agg(F.max("has_record").alias("has_record"), F.max("own_time").alias("own_time"), F.max("deleted_at").alias("deleted_at"))
     )
     alive = F.col("has_record") & (F.col("deleted_at").isNull() | F.coalesce(F.col("own_time") > F.col("deleted_at"), F.lit(False)))
-    # certainly there in every period after the one in which the record appeared
-    there_from = F.when(alive, F.when(F.col("own_time").isNull(), F.lit(ALWAYS)).otherwise(period_number(F.col("own_time")) + 1))
+    # a record without its own time is there from the beginning
+    there = F.when(alive, F.coalesce(F.unix_micros("own_time"), F.lit(ALWAYS))).otherwise(F.lit(NEVER))
+    there_period = F.when(alive, F.when(F.col("own_time").isNull(), F.lit(0)).otherwise(period_number(F.col("own_time")))).otherwise(F.lit(UNKNOWN_PERIOD))
     rows = wanted.select(
-        "field", "ref_key", "is_ref", "period_no", F.lit(None).cast("int").alias("there_from"), F.lit(False).alias("has_record"),
+        "field", "ref_key", F.lit(True).alias("is_ref"), "period_no", "first_time", F.lit(False).alias("has_record"),
         F.lit(None).cast("timestamp").alias("own_time"), F.lit(None).cast("timestamp").alias("deleted_at"),
     ).unionByName(
-        known.select("field", "ref_key", F.lit(False).alias("is_ref"), F.lit(0).alias("period_no"), there_from.alias("there_from"), "has_record", "own_time", "deleted_at")
+        known.select("field", "ref_key", F.lit(False).alias("is_ref"), there_period.alias("period_no"), there.alias("first_time"), "has_record", "own_time", "deleted_at")
     )
+    sizes = wanted.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("most")).first()
+    ranges = ranges or max(shuffle_partitions(references.sparkSession), -(-2 * sizes["groups"] // GROUP_ROWS))
     survivors = (
         rows.withColumn("key_range", F.pmod(F.xxhash64("field", "ref_key"), F.lit(ranges)))
         .groupBy("field", "key_range")
@@ -157,9 +189,14 @@ def orphan_references(references: DataFrame, records: DataFrame, deletions: Data
             lambda pdf: _surviving_bits(pdf),
             "field string, ref_key string, period_no int, has_record boolean, own_time timestamp, deleted_at timestamp",
         )
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salted = refs.withColumn("salt", F.pmod(F.xxhash64("owner_id"), F.lit(SALTS)).cast("int"))
+    keys = ["field", "ref_key", "period_no"]
+    if (sizes["most"] or 0) > HOT:
+        # only keys of more than HOT references are salted, each by its own count: at most 1 in HOT rows is listed
+        hot = wanted.where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+        survivors = survivors.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        refs = refs.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("owner_id"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        keys.append("salt")
     gone = ~F.col("has_record") | F.col("own_time").isNull() | (F.col("own_time") <= F.col("deleted_at"))
     reason = (
         F.when(F.col("deleted_at").isNull() & ~F.col("has_record"), F.lit("missing"))
@@ -167,7 +204,7 @@ def orphan_references(references: DataFrame, records: DataFrame, deletions: Data
         .when(F.col("own_time") > F.col("ref_time"), F.lit("late"))
     )
     return (
-        salted.join(survivors, ["field", "ref_key", "period_no", "salt"])
+        refs.join(survivors, keys)
         .select(
             "owner_id", "field", F.col("ref_key").alias("ref"), reason.alias("reason"), F.date_format("ref_time", "yyyy-MM").alias("period")
         )
