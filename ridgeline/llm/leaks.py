@@ -38,13 +38,27 @@ _SENTENCE_END = re.compile(r"[.!?:;\n]\s*[\"'«»„“”*#>_\s-]*$")
 _SHAPES = {ord(o): first for first, *others in (line.split(" ") for line in SAME_SHAPE.strip().splitlines()) for o in others}
 
 
+class _Shown(dict):
+    """Code point to what it stands for: nothing for marks and invisible characters, one letter for look-alikes."""
+
+    def __missing__(self, point: int) -> int | str | None:
+        c = chr(point)
+        self[point] = out = None if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else _SHAPES.get(point, point)
+        return out
+
+
+_SHOWN = _Shown()
+
+
 def plain_text(text: str) -> str:
     """Without markup, invisible characters, accents and look-alike letters; case is kept."""
-    text = _LINK.sub("] ", _TAG.sub(" ", html.unescape(text)))
-    text = unicodedata.normalize("NFKD", text)
-    if not text.isascii():
-        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return text.translate(_SHAPES)
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "](" in text:
+        text = _LINK.sub("] ", text)
+    return text if text.isascii() else unicodedata.normalize("NFKD", text).translate(_SHOWN)
 
 
 def words_of(text: str) -> tuple[list[str], list[bool]]:
