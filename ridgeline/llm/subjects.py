@@ -71,7 +71,7 @@ class _Terms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = out = zlib.crc32(word.encode()) % self.terms if len(word) > 1 and not word[0].isdigit() else -1
+        self[word] = out = ((zlib.crc32(word.encode()) * 0x9E3779B1) % 2**32 * self.terms) >> 32 if len(word) > 1 and not word[0].isdigit() else -1
         return out
 
 

@@ -48,6 +48,6 @@ def test_more_than_a_thousand_subjects(spark):
     text = lambda i: f"Alpha{code(i)} beta{code(i)} gamma{code(i)}."
     ex = spark.createDataFrame([(i, text(i), s) for i, s in enumerate(names)], "example_id long, text string, subject string")
     docs = spark.createDataFrame([(i, text(i)) for i in range(1001)], "doc_id long, text string")
-    got = subjects.subjects_of(docs, spark.createDataFrame([(s,) for s in names], "subject string"), ex, terms=1 << 14, most_rounds=0, support=1)
+    got = subjects.subjects_of(docs, spark.createDataFrame([(s,) for s in names], "subject string"), ex, terms=1 << 16, most_rounds=0, support=1)
     found = {(r["doc_id"], r["subject"]) for r in got.collect()}
     assert len(found & {(i, s) for i, s in enumerate(names)}) >= 950 and (1000, "s1000") in found
