@@ -1,11 +1,14 @@
 """Evaluation texts leaking into training text.
 
 Passages and documents are cut to words without case, punctuation, markup and character forms, and turned into templates: numbers,
-names and units become typed placeholders. Template windows are hash-joined, documents probing an index of the passages' windows
-(a block of at most BLOCK passages at a time, so what is shipped is bounded). Pairs with enough windows in common are judged by
-their slots: where the words in the slots and between are those of the passage, in at least RUN consecutive words or three quarters
-of the passage in one place, the document holds it; where only the template agrees and the slots are filled by a consistent
-other assignment, the document holds a re-parameterised passage.
+names and units become typed placeholders, their words are the slots. Windows of the passages' templates are hash-joined with those
+of the documents, of which a Bloom filter of the passages' windows has left the ones that can join. Pairs with enough windows in
+common are judged by template and slots: where the slots hold the passage's own words, in at least RUN consecutive words or in three
+quarters of the passage in one place, the document holds it; where the template agrees and the slots are filled by a
+consistent other assignment, the document holds a re-parameterised passage.
+
+Windows that many documents hold are left out of the join, as many of each passage as its least number of windows allows (the rarest
+stay), so that no key of half the corpus meets all passages with it.
 """
 
 from __future__ import annotations
@@ -18,19 +21,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.lookalike import SAME_SHAPE
+from ridgeline.session import cut
 
 WINDOW = 3
 RUN = 12
 SHARE = 0.75
 #: A passage is in one place when its words lie within this many times its length.
 PLACE = 1.5
-BLOCK = 4096
+#: Documents are cut with up to one word skipped between the words of a window, so that inserted words do not break it.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
+#: Bits of a Bloom filter: so many times its keys, within these bounds.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+SEGMENT = 1 << 16
+#: A window in more documents than this is hot.
+HOT = 2_000
+#: Candidate pairs up to this number are sent to the documents, more are shuffled with them.
+SENT = 500_000
 UNITS = frozenset("km m cm mm kmh h min s uur uhr std minuten heures kg g ton l ml euro eur volt watt kwh grad degrees hm".split())
-NAME, NUMBER, UNIT, OTHER = 0, 1, 2, 3
+NAME, NUMBER, UNIT, OTHER = 1, 2, 3, 4
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
@@ -87,188 +100,355 @@ def lcs_length(a: np.ndarray, masks: dict[int, int], n: int) -> int:
     return n - v.bit_count()
 
 
-class PassageIndex:
-    """Template windows of the passages, and what is needed to judge a document against one."""
-
-    def __init__(self, ids: list[int], passages: list[str]):
-        self.ids = ids
-        cut = [words_of(p) for p in passages]
-        self.names = {w for words, named in cut for w, is_name in zip(words, named, strict=True) if is_name}
-        self.word: dict[str, int] = {}
-        for words, _ in cut:
-            for w in words:
-                self.word.setdefault(w, len(self.word) + OTHER + 1)
-        self.literal = [np.array([self.word[w] for w in words], dtype=np.int64) for words, _ in cut]
-        self.base = np.int64(len(self.word) + OTHER + 2)
-        self.template = [self.templated(words, [False] * len(words)) for words, _ in cut]
-        keys, item, position = [], [], []
-        for i, t in enumerate(self.template):
-            k = self.windows(t)
-            keys.append(k)
-            item.append(np.full(len(k), i))
-            position.append(np.arange(len(k)))
-        self.offset = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int64)
-        key, item, position = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, item, position))
-        order = np.argsort(key, kind="stable")
-        self.key, self.start = np.unique(key[order], return_index=True)
-        self.stop = np.r_[self.start[1:], len(key)]
-        self.item, self.position = item[order].astype(np.int64), position[order].astype(np.int64)
-        self.need = np.array([min(RUN - WINDOW + 1, max(2, math.ceil(len(x) / 12))) for x in self.literal] or [0])
-        self.masks = [self._positions(x) for x in self.literal]
-        self.template_masks = [self._positions(x) for x in self.template]
-        self.runs: dict[int, set[int]] = {}
-        for i, x in enumerate(self.literal):
-            for k in self._run_keys(x):
-                self.runs.setdefault(int(k), set()).add(i)
-        self.run_keys = np.array(sorted(self.runs), dtype=np.uint64)
+def word_key(word: str) -> int:
+    """63 bits of a word in lower case, none of the placeholders' numbers."""
+    return (xxhash.xxh64_intdigest(word) >> 1) | 8
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+class Bloom:
+    """Bits of a set of keys; what is not in the set is mostly not found."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.mask = np.uint64(len(words) * 64 - 1)
 
     @staticmethod
-    def _positions(x: np.ndarray) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for at, w in enumerate(x.tolist()):
-            out[w] = out.get(w, 0) | (1 << at)
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        k = _mixed(keys)
+        return np.concatenate([k & np.uint64(bits - 1), (k >> np.uint64(32)) & np.uint64(bits - 1)])
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        k = _mixed(keys)
+        out = np.ones(len(k), dtype=bool)
+        for at in (k & self.mask, (k >> np.uint64(32)) & self.mask):
+            out &= ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
         return out
 
-    def templated(self, words: list[str], named: list[bool]) -> np.ndarray:
+    @classmethod
+    def of(cls, keys: np.ndarray, bits: int) -> Bloom:
+        words = np.zeros(bits // 64, dtype=np.uint64)
+        at = cls.places(np.asarray(keys, dtype=np.uint64), bits)
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return cls(words)
+
+
+def _segments(bits: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The segments of a partition's filter that hold any bit."""
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    for pdf in batches:
+        words |= Bloom.of(pdf["key"].to_numpy(dtype=np.int64).view(np.uint64), bits).words
+    parts = words.reshape(-1, min(SEGMENT, len(words)))
+    (some,) = np.nonzero(parts.any(axis=1))
+    yield pd.DataFrame({"segment": some.astype(np.int32), "bits": [parts[k].tobytes() for k in some]})
+
+
+def _either(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint64) for b in pdf["bits"]])
+    return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [total.tobytes()]})
+
+
+def bloom_of(keys: DataFrame) -> Bloom:
+    """The filter of ``keys`` (key), of at most MOST_BITS whatever their number."""
+    count = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, BITS_PER_KEY * count)))))
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    width = min(SEGMENT, len(words))
+    for r in keys.mapInPandas(lambda it: _segments(bits, it), "segment int, bits binary").groupBy("segment").applyInPandas(_either, "segment int, bits binary").collect():
+        words[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint64)
+    return Bloom(words)
+
+
+_UNIT_KEYS = frozenset(map(word_key, UNITS))
+
+
+class _Codes(dict):
+    """Word, as written, to its number in ``code`` (its place in a template: a placeholder, or the key of a word of the passages) and ``key``."""
+
+    def __init__(self, names: np.ndarray, vocabulary: np.ndarray):
+        super().__init__()
+        self.names, self.vocabulary = Bloom(names), Bloom(vocabulary)
+        self.code, self.key = np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
+
+    def __missing__(self, word: str) -> int:
+        key = word_key(word.casefold())
+        one = np.array([key])
+        if word[0].isdigit():
+            code = NUMBER
+        elif self.names.has(one)[0]:
+            code = NAME
+        elif self.vocabulary.has(one)[0]:
+            code = key
+        else:
+            code = NAME if word[0].isupper() and not word.isupper() else OTHER
+        n = len(self)
+        if n == len(self.code):
+            self.code, self.key = np.resize(self.code, 2 * n), np.resize(self.key, 2 * n)
+        self.code[n], self.key[n] = code, key
+        self[word] = n
+        return n
+
+
+class Cutter:
+    """Texts to templates (codes) and their words (keys)."""
+
+    def __init__(self, filters: tuple):
+        """``filters``: shipped bits of the passages' names and of all their words."""
+        self.codes = _Codes(*(f.value for f in filters))
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        of = self.codes
+        if len(of) > 500_000:
+            of.clear()
+        words = _WORD.findall(plain_text(text))
+        at = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
+        code, key = of.code[at], of.key[at]
+        after = np.flatnonzero(code[:-1] == NUMBER) + 1
+        if len(after):
+            code[[n for n, k in zip(after.tolist(), key[after].tolist(), strict=True) if k in _UNIT_KEYS]] = UNIT
+        return code, key
+
+
+def window_keys(code: np.ndarray, shape: tuple[int, ...] = SHAPES[0]) -> np.ndarray:
+    """Hash of each window of a template; 0 for those that hold an unknown word or nothing but placeholders."""
+    n = len(code) - shape[-1]
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    parts = [code[k : k + n].astype(np.uint64) for k in shape]
+    out = np.zeros(n, dtype=np.uint64)
+    for x in parts:
+        out = _mixed(out + x) * np.uint64(0x100000001B3)
+    usable = np.logical_and.reduce([x != OTHER for x in parts]) & np.logical_or.reduce([x > OTHER for x in parts])
+    return np.where(usable, out | np.uint64(1), np.uint64(0))
+
+
+def least_windows(n: np.ndarray | int) -> np.ndarray:
+    """How many windows of a passage of n words a document must hold at least.
+
+    A quarter of the words changed or dropped, evenly, leaves n / 4 - 2 windows whole, and RUN words in a row hold RUN - WINDOW + 1; this is
+    a fifth, to allow for words put in beside.
+    """
+    return np.minimum(RUN - WINDOW + 1, np.maximum(2, np.ceil(np.asarray(n) / 5) - 2)).astype(np.int64)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, named) of the passages' words."""
+    for pdf in batches:
+        cut_up = [words_of(p) for p in pdf["passage"]]
+        rows = {(word_key(w), n) for words, named in cut_up for w, n in zip(words, named, strict=True)}
+        yield pd.DataFrame(sorted(rows), columns=["key", "named"]).astype({"key": "int64", "named": "bool"})
+
+
+def _passage_windows(filters: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cutter = Cutter(filters)
+    for pdf in batches:
         out = []
-        before = -1
-        for w, is_name in zip(words, named, strict=True):
-            if w[0].isdigit():
-                before = NUMBER
-            elif w in UNITS and before == NUMBER:
-                before = UNIT
-            elif w in self.names:
-                before = NAME
-            elif w in self.word:
-                before = self.word[w]
-            else:
-                before = NAME if is_name else OTHER
-            out.append(before)
-        return np.array(out, dtype=np.int64)
-
-    def windows(self, t: np.ndarray) -> np.ndarray:
-        if len(t) < WINDOW:
-            return np.empty(0, dtype=np.int64)
-        key = np.zeros(len(t) - WINDOW + 1, dtype=np.int64)
-        for k in range(WINDOW):
-            key = key * self.base + t[k : len(t) - WINDOW + 1 + k]
-        return key
+        for item, passage in zip(pdf["item_id"], pdf["passage"], strict=True):
+            code, _ = cutter(passage)
+            keys, n = np.unique(window_keys(code), return_counts=True)
+            keys, n = keys[keys > 0], n[keys > 0]
+            need = min(int(least_windows(len(code))), int(n.sum()))
+            # nine tenths of the template in order leave so many windows whole, with words put in beside
+            same = max(need, int(n.sum()) - len(code) // 2)
+            out.append(pd.DataFrame({"item_id": item, "key": keys.view(np.int64), "n": n.astype(np.int32), "need": np.int32(need), "same": np.int32(same)}))
+        yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"item_id": [], "key": [], "n": [], "need": [], "same": []}).astype("int64")
+
+
+def _document_windows(filters: tuple, known, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, key) of the windows, each once a document, that the filter of the passages' windows lets pass."""
+    cutter, bloom = Cutter(filters), Bloom(known.value)
+    for pdf in batches:
+        for begin in range(0, len(pdf), 256):
+            part = pdf.iloc[begin : begin + 256]
+            cuts = [cutter(t)[0] for t in part["text"]]
+            gap = np.full(SHAPES[-1][-1], OTHER)  # no window runs from one text into the next
+            code = np.concatenate([x for c in cuts for x in (c, gap)])
+            owner = np.repeat(np.arange(len(cuts)), [len(c) + len(gap) for c in cuts])
+            found = []
+            for shape in SHAPES:
+                keys = window_keys(code, shape)
+                (at,) = np.nonzero(keys)
+                at = at[bloom.has(keys[at])]
+                found.append(pd.DataFrame({"n": owner[at], "key": keys[at].view(np.int64)}))
+            out = pd.concat(found, ignore_index=True).drop_duplicates()
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[out["n"].to_numpy()], "key": out["key"].to_numpy()})
+
+
+class Numbers(dict):
+    """Small numbers of the words and placeholders of the passages at hand; 0 is any other word."""
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.array([self.get(v, 0) for v in x.tolist()], dtype=np.int64)
+
+    def added(self, x: np.ndarray) -> np.ndarray:
+        return np.array([self.setdefault(v, len(self) + 1) for v in x.tolist()], dtype=np.int64)
+
+
+class Side:
+    """The words of a passage, or its template: their numbers, the places of each as bits, and which numbers are in it."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.masks: dict[int, int] = {}
+        for at, w in enumerate(x.tolist()):
+            self.masks[w] = self.masks.get(w, 0) | (1 << at)
+        self.member = np.zeros(0, dtype=bool)
 
-    @staticmethod
-    def _run_keys(x: np.ndarray) -> np.ndarray:
-        if len(x) < RUN:
-            return np.empty(0, dtype=np.uint64)
-        key = np.zeros(len(x) - RUN + 1, dtype=np.uint64)
-        for k in range(RUN):
-            key = key * np.uint64(1_000_003) + x[k : len(x) - RUN + 1 + k].astype(np.uint64)
-        return key
-
-    def holds_run(self, document: np.ndarray) -> set[int]:
-        """Passages of which the document holds RUN consecutive words."""
-        found: set[int] = set()
-        keys = self._run_keys(document)
-        if not len(keys) or not len(self.run_keys):
-            return found
-        near = np.minimum(np.searchsorted(self.run_keys, keys), len(self.run_keys) - 1)
-        for at in np.flatnonzero(self.run_keys[near] == keys):
-            window = document[at : at + RUN]
-            for i in self.runs[int(keys[at])]:
-                x = self.literal[i]
-                starts = np.flatnonzero(x[: len(x) - RUN + 1] == window[0])
-                if any((x[s : s + RUN] == window).all() for s in starts):
-                    found.add(i)
-        return found
-
-    def most_in_one_place(self, document: np.ndarray, masks: dict[int, int], n: int, hits: np.ndarray) -> tuple[int, int]:
-        """(longest common subsequence, place) over places of PLACE times the passage around the window hits."""
-        length, step = math.ceil(PLACE * n), max(1, n // 4)
-        starts = {max(0, (h - s) // step * step) for h in np.unique(hits // step * step).tolist() for s in range(0, length, step)}
-        best = (0, 0)
-        for s in sorted(starts):
-            part = document[s : s + length]
-            if len(part) * 1.0 >= SHARE * n:
-                best = max(best, (lcs_length(part, masks, n), -s))
-        return best[0], -best[1]
-
-    def consistent(self, i: int, template: np.ndarray, words: list[str], place: int) -> bool:
-        """Slots of the passage, aligned in order, take one value each and not all their own."""
-        x, n = self.template[i], len(self.template[i])
-        part, at = template[place : place + math.ceil(PLACE * n)], 0
-        value: dict[int, str] = {}
-        changed = 0
-        for p in range(n):
-            nxt = np.flatnonzero(part[at : at + 8] == x[p])
-            if not len(nxt):
-                continue
-            at += int(nxt[0])
-            if x[p] in (NAME, NUMBER):
-                word, own = words[place + at], int(self.literal[i][p])
-                if value.setdefault(own, word) != word:
-                    return False
-                changed += self.word.get(word) != own
-            at += 1
-        return changed > 0
-
-    def judge(self, text: str) -> list[tuple[int, str, float]]:
-        words, named = words_of(text)
-        if len(words) < WINDOW or not len(self.key):
-            return []
-        literal = np.array([self.word.get(w, -1) for w in words], dtype=np.int64)
-        template = self.templated(words, named)
-        quoted = self.holds_run(literal)
-        keys = self.windows(template)
-        at = np.searchsorted(self.key, keys)
-        at[at == len(self.key)] = 0
-        hit = np.flatnonzero(self.key[at] == keys)
-        out = [(self.ids[i], "quoted", 1.0) for i in sorted(quoted)]
-        if not len(hit):
-            return out
-        count = (self.stop - self.start)[at[hit]]
-        where = np.repeat(self.start[at[hit]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, position, place = self.item[where], self.position[where], np.repeat(hit, count)
-        window_of_item = np.zeros(len(self.key) and int(self.offset[-1]), dtype=bool)
-        window_of_item[self.offset[item] + position] = True
-        distinct = np.add.reduceat(np.r_[window_of_item, False].astype(np.int64), self.offset[:-1]) * (np.diff(self.offset) > 0)
-        present = np.zeros(int(self.base), dtype=bool)
-        present[template] = True
-        for i in np.flatnonzero((distinct >= self.need) & (distinct > 0)).tolist():
-            if i in quoted:
-                continue
-            n = len(self.literal[i])
-            hits = place[item == i]
-            # at least so many words of the passage are in the document at all
-            if present[self.template[i]].sum() < SHARE * n:
-                continue
-            same, _ = self.most_in_one_place(literal, self.masks[i], n, hits)
-            if same >= SHARE * n:
-                out.append((self.ids[i], "quoted", same / n))
-                continue
-            alike, begin = self.most_in_one_place(template, self.template_masks[i], n, hits)
-            if alike >= 0.9 * n and self.consistent(i, template, words, begin):
-                out.append((self.ids[i], "reparameterised", alike / n))
-        return out
+    def holds(self, document: np.ndarray, size: int) -> np.ndarray:
+        if len(self.member) < size:
+            self.member = np.zeros(size, dtype=bool)
+            self.member[self.x] = True
+        return self.member[document]
+
+
+class Passage:
+    """A passage cut once for all documents it is compared with."""
+
+    def __init__(self, code: np.ndarray, key: np.ndarray, numbers: Numbers):
+        self.code, self.key, self.n = code, key, len(code)
+        self.runs = set(run_keys(key).tolist())
+        self.template, self.words = Side(numbers.added(code)), Side(numbers.added(key))
 
 
-def _probe(items: pd.DataFrame, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    index = PassageIndex(items["item_id"].astype(int).tolist(), items["passage"].tolist())
+class Text:
+    """A document cut once for all passages it is compared with."""
+
+    def __init__(self, code: np.ndarray, key: np.ndarray, numbers: Numbers):
+        self.code, self.key = code, key
+        self.runs = set(run_keys(key).tolist())
+        self.template, self.words = numbers.of(code), numbers.of(key)
+
+
+def run_keys(x: np.ndarray, length: int = RUN) -> np.ndarray:
+    n = len(x) - length + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(length):
+        out = _mixed(out + x[k : k + n].astype(np.uint64)) * np.uint64(0x100000001B3)
+    return out
+
+
+def most_in_one_place(document: np.ndarray, side: Side, size: int, least: float) -> tuple[int, int]:
+    """(longest common subsequence, its place) over the places of PLACE times the passage, or zero where none reaches ``least``.
+
+    A place holds no longer subsequence than it holds words of the passage, so that only places with enough of them are aligned.
+    Places that begin at a word of the passage are enough, and of those that hold the same words one.
+    """
+    n = len(side.x)
+    own = side.holds(document, size)
+    if not len(own) or np.count_nonzero(own) < least:
+        return 0, 0
+    length = min(math.ceil(PLACE * n), len(document))
+    held = np.r_[0, np.cumsum(own)]
+    inside = held[length:] - held[:-length]
+    starts = np.flatnonzero((inside >= least) & own[: len(inside)])
+    if not len(starts) and len(inside) and inside.max() >= least:
+        starts = np.array([int(inside.argmax())])
+    best, after = (0, 0), -1
+    for s in starts.tolist():
+        if s < after:
+            continue
+        same = lcs_length(document[s : s + length], side.masks, n)
+        best = max(best, (same, -s))
+        # a place begun k words later holds at most k words more
+        after = s + math.ceil(least - same)
+    return (best[0], -best[1]) if best[0] >= least else (0, 0)
+
+
+def consistent(passage: Passage, code: np.ndarray, key: np.ndarray, place: int) -> bool:
+    """Slots of the passage, aligned in order, take one value each and not all their own."""
+    part, at = code[place : place + math.ceil(PLACE * passage.n)], 0
+    value: dict[int, int] = {}
+    changed = 0
+    for p in range(passage.n):
+        nxt = np.flatnonzero(part[at : at + 8] == passage.code[p])
+        if not len(nxt):
+            continue
+        at += int(nxt[0])
+        if passage.code[p] in (NAME, NUMBER):
+            word, own = int(key[place + at]), int(passage.key[p])
+            if value.setdefault(own, word) != word:
+                return False
+            changed += word != own
+        at += 1
+    return changed > 0
+
+
+def judge(passage: Passage, text: Text, size: int, alike: bool = True) -> tuple[str, float] | None:
+    """Whether a text holds the passage: template and slots alike (quoted), or the template (if it may be ``alike``) with other slots."""
+    if not passage.runs.isdisjoint(text.runs):
+        return "quoted", 1.0
+    n = passage.n
+    same, _ = most_in_one_place(text.words, passage.words, size, SHARE * n)
+    if same:
+        return "quoted", same / n
+    same, begin = most_in_one_place(text.template, passage.template, size, 0.9 * n) if alike else (0, 0)
+    if same and consistent(passage, text.code, text.key, begin):
+        return "reparameterised", same / n
+    return None
+
+
+def _judged(filters: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cutter = Cutter(filters)
+    numbers = Numbers()
+    passages: dict[int, Passage] = {}
     for pdf in batches:
-        rows = [(doc, *found) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for found in index.judge(text)]
+        if len(passages) > 20_000:
+            passages.clear()
+            numbers.clear()
+        rows, texts = [], {}
+        for item, passage in zip(pdf["item_id"], pdf["passage"], strict=True):
+            if item not in passages:
+                passages[item] = Passage(*cutter(passage), numbers)
+        size = len(numbers) + 1
+        for doc, text, item, alike in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["alike"], strict=True):
+            if doc not in texts:
+                texts[doc] = Text(*cutter(text), numbers)
+            found = judge(passages[item], texts[doc], size, alike)
+            if found:
+                rows.append((doc, item, *found))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def candidate_pairs(texts: DataFrame, windows: DataFrame, filters: tuple, hot: int = HOT) -> DataFrame:
+    """(doc_id, item_id, alike): pairs with at least the least number of windows in common, and whether the templates can be alike."""
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast(bloom_of(windows.select("key").distinct()).words)
+    hits = cut(texts.mapInPandas(lambda it: _document_windows(filters, known, it), "doc_id long, key long"))
+    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > hot)
+    # of the hottest windows of a passage as many are left out as leave one of its least number
+    ranked = windows.join(often, "key", "left").withColumn(
+        "so_far", F.sum("n").over(Window.partitionBy("item_id").orderBy(F.coalesce("often", F.lit(0)).desc(), "key").rowsBetween(Window.unboundedPreceding, 0))
+    )
+    spared = F.col("often").isNotNull() & (F.col("so_far") < F.col("need"))
+    left_out = F.max(F.when(spared, F.col("so_far")).otherwise(0)).over(Window.partitionBy("item_id"))
+    rest = ranked.withColumn("spared", left_out).where(~spared).select("key", "item_id", "n", (F.col("need") - F.col("spared")).alias("least"), (F.col("same") - F.col("spared")).alias("same"))
+    held = hits.join(rest, "key").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("same").alias("same"))
+    return held.where("n >= least").select("doc_id", "item_id", F.expr("n >= same").alias("alike"))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, item_id, kind, share): documents that hold a passage, ``kind`` quoted or reparameterised.
 
-    Null or empty texts and passages hold nothing; repeated rows give one case; empty tables give an empty result. Passages beyond
-    ``block`` are handled in further passes over the documents. Other columns are ignored.
+    Null or empty texts and passages hold nothing; repeated rows give one case; empty tables give an empty result. Any number of
+    passages is joined in one pass over the documents. Other columns are ignored.
     """
     spark = documents.sparkSession
-    schema = "doc_id long, item_id long, kind string, share double"
-    known = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select("item_id", "passage").dropDuplicates(["item_id"])
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    blocks = -(-known.count() // block)
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        some = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toPandas()
-        out = out.unionByName(texts.mapInPandas(lambda it, some=some: _probe(some, it), schema))
+    known = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "passage").dropDuplicates(["item_id"])
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = known.select("passage").mapInPandas(_words, "key long, named boolean").groupBy("key").agg(F.max("named").alias("named"))
+    words = cut(words)
+    filters = tuple(spark.sparkContext.broadcast(bloom_of(w).words) for w in (words.where("named"), words))
+    windows = cut(known.mapInPandas(lambda it: _passage_windows(filters, it), "item_id long, key long, n int, need int, same int"))
+    pairs = cut(candidate_pairs(texts, windows, filters, hot))
+    if pairs.count() <= SENT:
+        pairs = F.broadcast(pairs)
+    judged = texts.join(pairs, "doc_id").join(known, "item_id").select("doc_id", "text", "item_id", "passage", "alike")
+    out = judged.mapInPandas(lambda it: _judged(filters, it), "doc_id long, item_id long, kind string, share double")
     return out.groupBy("doc_id", "item_id", "kind").agg(F.max("share").alias("share"))

@@ -164,7 +164,7 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leaks.leaked_items(docs, items).collect()}
     assert {k for k, v in got.items() if v == "quoted"} == {(1, 7), (2, 7), (4, 7), (6, 7), (9, 7), (10, 7)}  # 6 keeps more than three quarters
     assert got[11, 11] == got[12, 11] == "reparameterised"
-    assert leaks.leaked_items(docs, items, block=1).count() == len(got)
+    assert leaks.leaked_items(docs, items, hot=0).count() == len(got)
     assert leaks.leaked_items(docs.limit(0), items).count() == leaks.leaked_items(docs, items.limit(0)).count() == 0
 
 
@@ -177,7 +177,7 @@ def test_bit_vector_subsequence_length():
             prev = row[:]
             for j, y in enumerate(b, 1):
                 row[j] = prev[j - 1] + 1 if x == y else max(prev[j], row[j - 1])
-        assert leaks.lcs_length(np.array(a), leaks.PassageIndex._positions(np.array(b)), len(b)) == row[-1]
+        assert leaks.lcs_length(np.array(a), leaks.Side(np.array(b)).masks, len(b)) == row[-1]
 
 
 def _labelled(n, rng):
