@@ -8,7 +8,7 @@ quarters of the passage in one place, the document holds it; where the template
 consistent other assignment, the document holds a re-parameterised passage.
 
 Windows that many documents hold are left out of the join, as many of each passage as its least number of windows allows (the rarest
-stay), so that no key of half the corpus meets all passages with it.
+stay), so that no key of half the corpus meets all passages with it; they are counted in the pairs that the others leave.
 """
 
 from __future__ import annotations
@@ -298,6 +298,13 @@ class Side:
         for at, w in enumerate(x.tolist()):
             self.masks[w] = self.masks.get(w, 0) | (1 << at)
         self.member = np.zeros(0, dtype=bool)
+        self.count = np.zeros(0, dtype=np.int64)
+
+    def most(self, document: np.ndarray, size: int) -> int:
+        """Bound of the common subsequence: words in common, each as often as both have it."""
+        if len(self.count) < size:
+            self.count = np.bincount(self.x, minlength=size)
+        return int(np.minimum(np.bincount(document, minlength=len(self.count)), self.count).sum())
 
     def holds(self, document: np.ndarray, size: int) -> np.ndarray:
         if len(self.member) < size:
@@ -354,8 +361,11 @@ def most_in_one_place(document: np.ndarray, side: Side, size: int, least: float)
     for s in starts.tolist():
         if s < after:
             continue
-        same = lcs_length(document[s : s + length], side.masks, n)
-        best = max(best, (same, -s))
+        part = document[s : s + length]
+        same = side.most(part, size)
+        if same >= least:
+            same = lcs_length(part, side.masks, n)
+            best = max(best, (same, -s))
         # a place begun k words later holds at most k words more
         after = s + math.ceil(least - same)
     return (best[0], -best[1]) if best[0] >= least else (0, 0)
@@ -428,9 +438,15 @@ def candidate_pairs(texts: DataFrame, windows: DataFrame, filters: tuple, hot: i
     )
     spared = F.col("often").isNotNull() & (F.col("so_far") < F.col("need"))
     left_out = F.max(F.when(spared, F.col("so_far")).otherwise(0)).over(Window.partitionBy("item_id"))
-    rest = ranked.withColumn("spared", left_out).where(~spared).select("key", "item_id", "n", (F.col("need") - F.col("spared")).alias("least"), (F.col("same") - F.col("spared")).alias("same"))
-    held = hits.join(rest, "key").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("same").alias("same"))
-    return held.where("n >= least").select("doc_id", "item_id", F.expr("n >= same").alias("alike"))
+    ranked = cut(ranked.withColumn("left_out", left_out).withColumn("spared", spared))
+    rest = ranked.where(~spared).select("key", "item_id", "n", "left_out", "need", "same")
+    held = hits.join(rest, "key").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("left_out", "need", "same")))
+    held = held.where("n >= need - left_out")
+    # the hot windows count as well, in the pairs that are left
+    hot_windows = ranked.where("spared").select("key", "item_id", F.col("n").alias("more"))
+    more = held.where("left_out > 0").select("doc_id", "item_id").join(hot_windows, "item_id").join(hits, ["doc_id", "key"]).groupBy("doc_id", "item_id").agg(F.sum("more").alias("more"))
+    held = held.join(more, ["doc_id", "item_id"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+    return held.where("n >= need").select("doc_id", "item_id", F.expr("n >= same").alias("alike"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, hot: int = HOT) -> DataFrame:
