@@ -8,7 +8,7 @@ quarters of the passage in one place, the document holds it; where the template
 consistent other assignment, the document holds a re-parameterised passage.
 
 Windows that many documents hold are left out of the join, as many of each passage as its least number of windows allows (the rarest
-stay), so that no key of half the corpus meets all passages with it; they are counted in the pairs that the others leave.
+stay), so that no key of half the corpus meets all passages with it.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 SEGMENT = 1 << 16
 #: A window in more documents than this is hot.
-HOT = 2_000
-#: Candidate pairs up to this number are sent to the documents, more are shuffled with them.
-SENT = 500_000
+HOT = 50_000
+#: Documents go through the judge once for each so many passages there are.
+TOGETHER = 256
 UNITS = frozenset("km m cm mm kmh h min s uur uhr std minuten heures kg g ton l ml euro eur volt watt kwh grad degrees hm".split())
 NAME, NUMBER, UNIT, OTHER = 1, 2, 3, 4
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -412,17 +412,18 @@ def _judged(filters: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
         if len(passages) > 20_000:
             passages.clear()
             numbers.clear()
-        rows, texts = [], {}
-        for item, passage in zip(pdf["item_id"], pdf["passage"], strict=True):
-            if item not in passages:
-                passages[item] = Passage(*cutter(passage), numbers)
+        rows = []
+        for items, several in zip(pdf["item_id"], pdf["passage"], strict=True):
+            for item, passage in zip(items, several, strict=True):
+                if item not in passages:
+                    passages[item] = Passage(*cutter(passage), numbers)
         size = len(numbers) + 1
-        for doc, text, item, alike in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["alike"], strict=True):
-            if doc not in texts:
-                texts[doc] = Text(*cutter(text), numbers)
-            found = judge(passages[item], texts[doc], size, alike)
-            if found:
-                rows.append((doc, item, *found))
+        for doc, text, items, alike in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["alike"], strict=True):
+            one = Text(*cutter(text), numbers)
+            for item, other in zip(items, alike, strict=True):
+                found = judge(passages[item], one, size, other)
+                if found:
+                    rows.append((doc, item, *found))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "share"]).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
 
@@ -438,15 +439,9 @@ def candidate_pairs(texts: DataFrame, windows: DataFrame, filters: tuple, hot: i
     )
     spared = F.col("often").isNotNull() & (F.col("so_far") < F.col("need"))
     left_out = F.max(F.when(spared, F.col("so_far")).otherwise(0)).over(Window.partitionBy("item_id"))
-    ranked = cut(ranked.withColumn("left_out", left_out).withColumn("spared", spared))
-    rest = ranked.where(~spared).select("key", "item_id", "n", "left_out", "need", "same")
-    held = hits.join(rest, "key").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("left_out", "need", "same")))
-    held = held.where("n >= need - left_out")
-    # the hot windows count as well, in the pairs that are left
-    hot_windows = ranked.where("spared").select("key", "item_id", F.col("n").alias("more"))
-    more = held.where("left_out > 0").select("doc_id", "item_id").join(hot_windows, "item_id").join(hits, ["doc_id", "key"]).groupBy("doc_id", "item_id").agg(F.sum("more").alias("more"))
-    held = held.join(more, ["doc_id", "item_id"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
-    return held.where("n >= need").select("doc_id", "item_id", F.expr("n >= same").alias("alike"))
+    rest = ranked.withColumn("left_out", left_out).where(~spared).select("key", "item_id", "n", (F.col("need") - F.col("left_out")).alias("least"), (F.col("same") - F.col("left_out")).alias("same"))
+    held = hits.join(rest, "key").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("same").alias("same"))
+    return held.where("n >= least").select("doc_id", "item_id", F.expr("n >= same").alias("alike"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, hot: int = HOT) -> DataFrame:
@@ -462,9 +457,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, hot: int = HOT) -> Data
     words = cut(words)
     filters = tuple(spark.sparkContext.broadcast(bloom_of(w).words) for w in (words.where("named"), words))
     windows = cut(known.mapInPandas(lambda it: _passage_windows(filters, it), "item_id long, key long, n int, need int, same int"))
-    pairs = cut(candidate_pairs(texts, windows, filters, hot))
-    if pairs.count() <= SENT:
-        pairs = F.broadcast(pairs)
-    judged = texts.join(pairs, "doc_id").join(known, "item_id").select("doc_id", "text", "item_id", "passage", "alike")
+    pairs = candidate_pairs(texts, windows, filters, hot)
+    # a text goes to the judge with the passages it may hold, in lists of bounded length
+    lists = F.lit(-(-known.count() // TOGETHER) or 1)
+    asked = (
+        pairs.join(known, "item_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id"), lists).alias("list"))
+        .agg(F.collect_list(F.struct("item_id", "passage", "alike")).alias("of")).select("doc_id", "of.item_id", "of.passage", "of.alike")
+    )
+    judged = texts.join(asked, "doc_id").select("doc_id", "text", "item_id", "passage", "alike")
     out = judged.mapInPandas(lambda it: _judged(filters, it), "doc_id long, item_id long, kind string, share double")
     return out.groupBy("doc_id", "item_id", "kind").agg(F.max("share").alias("share"))
