@@ -357,10 +357,13 @@ def most_in_one_place(document: np.ndarray, side: Side, size: int, least: float)
     starts = np.flatnonzero((inside >= least) & own[: len(inside)])
     if not len(starts) and len(inside) and inside.max() >= least:
         starts = np.array([int(inside.argmax())])
-    best, after = (0, 0), -1
+    best, after, half = (0, 0), -1, length // 2
     for s in starts.tolist():
         if s < after:
             continue
+        if side.most(document[s : s + length + half], size) < least:
+            after = s + half + 1  # all places inside it hold fewer
+            continue
         part = document[s : s + length]
         same = side.most(part, size)
         if same >= least:
