@@ -1,10 +1,9 @@
 """Mapping free-entered values to a canonical list.
 
-A prefix-filter join between the distinct values typed and the names in the list, on their letters (numbered when repeated) without
-blanks. k edits leave all but k of a text's letters, in whatever order of words; so of the k + 1 rarest letters of either one is among
-those of the other, and only these are joined, with the count of common letters verified: nothing that the edits allow is dropped.
-An edit-distance check scaled to the length then decides, and the best entry is kept, of equal ones the one with the higher Jaccard
-similarity of letters and letter pairs; values without one are unmatched. ``similar_entries`` is the join by Jaccard similarity alone.
+A prefix-filter join by Jaccard similarity between the distinct values typed and the names in the list, on their letters (numbered when
+repeated) without blanks: tokens are ordered by global rarity, only rare prefixes are joined, length and positions filter, and the similarity
+is verified exactly. Its threshold is the least that the typing errors allowed for the names in the list leave, so that none of these is
+dropped. The most similar entry is kept among those a check of the errors lets pass; values without one are unmatched.
 """
 
 from __future__ import annotations
@@ -18,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY = 0.4
+from ridgeline.session import cut
+
+SIMILARITY = 0.5
 UNMATCHED = "unmatched"
 SALTS = 8
 
@@ -42,17 +43,21 @@ def readings(text: str) -> list[str]:
 
 
 def token_set(words: str) -> list[str]:
-    """Numbered letters and letter pairs of the text without blanks."""
-    compact = words.replace(" ", "")
+    """Numbered letters of the text without blanks: one token a letter, so that the order of words does not matter."""
     seen: Counter[str] = Counter()
-    out = set()
-    for c in compact:
+    out = []
+    for c in words.replace(" ", ""):
         seen[c] += 1
-        out.add(f"{c}{seen[c]}")
-    out.update(f"{a}{b}" for a, b in zip(compact, compact[1:], strict=False))
+        out.append(f"{c}{seen[c]}")
     return sorted(out)
 
 
+def pairs_in_common(a: str, b: str) -> float:
+    """Jaccard similarity of the letter pairs, to tell entries of one letter similarity apart."""
+    one, two = ({x[i : i + 2] for x in t.split() for i in range(len(x) - 1)} for t in (a, b))
+    return len(one & two) / max(1, len(one | two))
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, replacements and swaps of neighbours; more than ``most`` is most + 1."""
     if abs(len(a) - len(b)) > most:
@@ -84,22 +89,27 @@ def _with_tokens(batches: Iterator[pd.DataFrame], most: int | None = None) -> It
         yield out.assign(tokens=[token_set(r) for r in out["reading"]])
 
 
-def _nearness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Similar pairs that few typing errors can lead to, with the letter pairs they share."""
     for pdf in batches:
-        distance = []
+        keep, pairs = [], []
         for reading, name, code in zip(pdf["reading"], pdf["name"], pdf["code"], strict=True):
             most = allowed_edits(name, code)
-            a, b = reading.replace(" ", ""), name.replace(" ", "")
-            d = edits(a, b, most)
-            if d > 0:
-                d = min(d, edits("".join(sorted(reading.split())), "".join(sorted(name.split())), most))
-            distance.append(d if d <= most else None)
-        yield pdf.assign(edits=pd.array(distance, dtype="Int32"))
+            ok = edits(reading.replace(" ", ""), name.replace(" ", ""), most) <= most or edits("".join(sorted(reading.split())), "".join(sorted(name.split())), most) <= most
+            keep.append(ok)
+            pairs.append(pairs_in_common(reading, name) if ok else 0.0)
+        yield pdf.assign(pairs=pairs)[keep]
 
 
-def _allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def least_similarity(name: str, is_id: bool = False) -> float:
+    """Jaccard similarity of numbered letters that the allowed edits leave at least: k edits of n letters keep n - k in common, of n + k."""
+    n, k = len(name.replace(" ", "")), allowed_edits(name, is_id)
+    return (n - k) / (n + k) if n else 1.0
+
+
+def _least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"name": pdf["name"], "tokens": pdf["tokens"], "most": [allowed_edits(n, c) for n, c in zip(pdf["name"], pdf["code"], strict=True)]}).astype({"most": "int32"})
+        yield pd.DataFrame({"least": [least_similarity(n, bool(c)) for n, c in zip(pdf["name"], pdf["code"], strict=True)]}).astype({"least": "float64"})
 
 
 def _prefix(tokens: Column, similarity: float) -> Column:
@@ -137,61 +147,27 @@ def similar_entries(values: DataFrame, names: DataFrame, similarity: float = SIM
     )
 
 
-def numbered_letters(words: str) -> list[str]:
-    """The letters of the text without blanks, numbered."""
-    seen: Counter[str] = Counter()
-    out = []
-    for c in words.replace(" ", ""):
-        seen[c] += 1
-        out.append(f"{c}{seen[c]}")
-    return out
-
-
-def _with_letters(key: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(letters=[numbered_letters(x) for x in pdf[key]])
-
-
-def near_entries(values: DataFrame, names: DataFrame) -> DataFrame:
-    """(reading, name, jaccard) of all readings and names that the allowed edits of the name can lead to; (key, tokens) of distinct keys, names with ``most``."""
-    left = values.mapInPandas(lambda it: _with_letters("reading", it), "reading string, tokens array<string>, letters array<string>")
-    right = names.mapInPandas(lambda it: _with_letters("name", it), "name string, tokens array<string>, most int, letters array<string>")
-    counts = left.select(F.explode("letters").alias("token")).unionByName(right.select(F.explode("letters").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    most = max(map(allowed_edits, ("", "x" * 4, "x" * 6, "x" * 11)))
-    order = lambda rows, key: _ranked(rows.select(key, F.col("letters").alias("tokens")), key, counts).withColumnRenamed("tokens", "rarest")
-    a = left.join(order(left, "reading"), "reading").select("reading", F.col("tokens").alias("a_tokens"), F.col("letters").alias("a_letters"), F.posexplode(F.slice("rarest", 1, most + 1)).alias("a_pos", "token"))
-    b = right.join(order(right, "name"), "name").select("name", "most", F.col("tokens").alias("b_tokens"), F.col("letters").alias("b_letters"), F.posexplode(F.slice("rarest", F.lit(1), F.col("most") + 1)).alias("b_pos", "token"))
-    common = F.size(F.array_intersect("a_letters", "b_letters"))
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    possible = (F.col("a_pos") <= F.col("most")) & (F.abs(F.size("a_letters") - F.size("b_letters")) <= F.col("most"))
-    return (
-        a.join(b, "token").where(possible).dropDuplicates(["reading", "name"]).where(common >= F.greatest(F.size("a_letters"), F.size("b_letters")) - F.col("most"))
-        .select("reading", "name", (shared / (F.size("a_tokens") + F.size("b_tokens") - shared)).alias("jaccard"))
-    )
-
-
 def canonical_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, entry): for each distinct non-blank ``values.value`` the id of the entry meant, or ``unmatched``.
 
-    ``entries`` is (entry, names): the id and its other names (null names are skipped). Fewest edits win, then the higher similarity, then
-    the lesser id. Null and blank values are left out; empty tables give an empty result, an empty list leaves all unmatched.
+    ``entries`` is (entry, names): the id and its other names (null names are skipped). The highest similarity of letters wins, then of
+    letter pairs, then the lesser id. Null and blank values are left out; empty tables give an empty result, an empty list leaves all unmatched.
     """
     distinct = values.where(F.length(F.regexp_replace("value", r"(?U)\s", "")) > 0).select("value").distinct()
     spoken = entries.select("entry", F.explode("names").alias("value"), F.lit(False).alias("code"))
     listed = spoken.unionByName(entries.select("entry", F.col("entry").alias("value"), F.lit(True).alias("code"))).where(F.col("value").isNotNull())
-    wanted = distinct.mapInPandas(lambda it: _with_tokens(it), "value string, reading string, tokens array<string>")
-    named = (
+    wanted = cut(distinct.mapInPandas(lambda it: _with_tokens(it), "value string, reading string, tokens array<string>"))
+    named = cut(
         listed.select("value").distinct().mapInPandas(lambda it: _with_tokens(it, 1), "value string, reading string, tokens array<string>")
         .join(listed, "value").groupBy("entry", F.col("reading").alias("name")).agg(F.min("tokens").alias("tokens"), F.min("code").alias("code"))
     )
-    allowed = named.groupBy("name").agg(F.min("tokens").alias("tokens"), F.min("code").alias("code")).mapInPandas(_allowed, "name string, tokens array<string>, most int")
-    near = near_entries(wanted.select("reading", "tokens").distinct(), allowed)
-    judged = (
-        near.join(named.select("name", "entry", "code"), "name").mapInPandas(_nearness, "name string, reading string, jaccard double, entry string, code boolean, edits int")
-        .where(F.col("edits").isNotNull())
-    )
+    names = named.groupBy("name").agg(F.min("tokens").alias("tokens"))
+    least = named.select("name", "code").distinct().mapInPandas(_least, "least double").agg(F.min("least")).first()[0]
+    near = similar_entries(wanted.select("reading", "tokens").distinct(), names, least if least is not None else SIMILARITY)
+    judged = near.join(named.select("name", "entry", "code"), "name").mapInPandas(_checked, "name string, reading string, jaccard double, entry string, code boolean, pairs double")
     best = (
-        wanted.select("value", "reading").join(judged, "reading").groupBy("value").agg(F.min(F.struct("edits", (-F.col("jaccard")).alias("j"), "entry")).alias("best"))
+        wanted.select("value", "reading").join(judged, "reading").groupBy("value")
+        .agg(F.min(F.struct((-F.col("jaccard")).alias("j"), (-F.col("pairs")).alias("p"), "entry")).alias("best"))
     )
     return distinct.join(best, "value", "left").select("value", F.coalesce(F.col("best.entry"), F.lit(UNMATCHED)).alias("entry"))
 
