@@ -92,6 +92,20 @@ def test_radius_join_is_complete(spark):
     assert got == sorted((left[i][0], right[j][0]) for i, j in zip(*np.nonzero(d <= radius), strict=True))
 
 
+def test_heavy_cells_are_parted_again(spark):
+    rng = np.random.default_rng(8)
+    where = [np.column_stack([51 + rng.normal(0, 0.1, 6000), 4 + rng.normal(0, 0.1, 6000)]) for _ in range(2)]
+    frames = [spark.createDataFrame([(i, float(a), float(o), 1) for i, (a, o) in enumerate(w)], POINT) for w in where]
+    metres = 150.0
+    a, b = N.voronoi_cells(frames[0].drop("cell"), frames[1].drop("cell"), metres / N.EARTH_RADIUS_M, pivots=8, block=150)
+    most = max(max(N.cell_counts(a).values()), max(N.cell_counts(b).values()))
+    assert a.count() == 6000 and b.count() <= 3 * 6000 and most <= 6 * 150  # 700 a cell at first, copied less than three times
+    got = {(r["left_id"], r["right_id"]) for r in N.radius_join(*frames, metres, pivots=8, block=150).collect()}
+    u, v = (N.unit_vectors(w[:, 0], w[:, 1]) for w in where)
+    want = {(i, int(j)) for i in range(6000) for j in np.flatnonzero(N.angle(u[i][None], v) * N.EARTH_RADIUS_M <= metres)}
+    assert got == want and len(want) > 1000
+
+
 def test_radius_join_of_empty_sides(spark):
     empty, one = spark.createDataFrame([], POINT), spark.createDataFrame([(1, 50.0, 3.0, 0)], POINT)
     assert N.radius_join(empty, one, 100).count() == N.radius_join(one, empty, 100).count() == 0
