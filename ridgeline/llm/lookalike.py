@@ -19,6 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.session import cut
+
+#: Texts of a form, or rows of a text, that one task may hold.
+HOT = 10_000
+
 # Letters of one shape, one class a line (Latin first, then Greek, Cyrillic, Armenian, Cherokee and others).
 SAME_SHAPE = """
 A Α А Ꭺ
@@ -208,23 +213,42 @@ def one_form(texts: DataFrame) -> DataFrame:
     return distinct.mapInPandas(lambda it: _rewrite(table, it), "tbl string, text string, n long, form string")
 
 
-def confusable_pairs(records: DataFrame, salts: int = 16) -> DataFrame:
+def look_alike_forms(known: DataFrame) -> DataFrame:
+    """(tbl, form, text, n, texts): the texts of every form that several texts of a table share, with their number of rows and of texts."""
+    forms = cut(one_form(known.select("tbl", "text")))
+    several = forms.groupBy("tbl", "form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    return forms.join(several, ["tbl", "form"]).select("tbl", "form", "text", "n", "texts")
+
+
+def confusable_classes(records: DataFrame) -> DataFrame:
+    """(tbl, form, texts, records): the classes of look-alike texts, one row each whatever their size."""
+    known = records.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "text").distinct()
+    return look_alike_forms(known).groupBy("tbl", "form").agg(F.max("texts").alias("texts"), F.sum("n").alias("records"))
+
+
+def confusable_pairs(records: DataFrame, hot: int = HOT) -> DataFrame:
     """(tbl, a_id, b_id), a_id < b_id: records (tbl, id, text) whose texts are different strings of one form.
 
-    Equal strings are no case, repeated records give one. Pairs are made between the distinct texts of a form, and only then spread
-    to the records by salted joins, so a text that many records share costs what it adds to the result.
+    Equal strings are no case, repeated records give one. Pairs are made between the distinct texts of a form, those of a form with more than
+    ``hot`` texts in blocks that meet once, and only then spread to the records; the records of a text that more than ``hot`` hold are salted.
     """
-    known = records.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "text")
-    forms = one_form(known.select("tbl", "text")).select("tbl", "text", "form")
-    several = forms.groupBy("tbl", "form").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("tbl", "form")
-    variants = forms.join(several, ["tbl", "form"])
-    a = variants.select("tbl", "form", F.col("text").alias("a_text"))
-    b = variants.select("tbl", "form", F.col("text").alias("b_text"))
-    text_pairs = a.join(b, ["tbl", "form"]).where("a_text < b_text").select("tbl", "a_text", "b_text")
-    holders = known.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    first = text_pairs.withColumn("salt", every).join(holders.select("tbl", F.col("text").alias("a_text"), F.col("id").alias("a"), "salt"), ["tbl", "a_text", "salt"])
-    both = first.drop("salt").withColumn("salt", every).join(holders.select("tbl", F.col("text").alias("b_text"), F.col("id").alias("b"), "salt"), ["tbl", "b_text", "salt"])
+    known = records.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("tbl", "id", "text").distinct()
+    blocks = F.ceil(F.col("texts") / hot).cast("int")
+    variants = cut(look_alike_forms(known)).withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("text"), blocks).cast("int")})
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = variants.select("tbl", "form", F.col("text").alias("a_text"), F.col("n").alias("a_n"), F.col("own").alias("one"), every.alias("other"))
+    b = variants.select("tbl", "form", F.col("text").alias("b_text"), F.col("n").alias("b_n"), every.alias("one"), F.col("own").alias("other"))
+    both = a.join(b, ["tbl", "form", "one", "other"]).where("a_text < b_text").select("tbl", "a_text", "a_n", "b_text", "b_n")
+    # at most one text in ``hot`` rows is held by so many
+    often = variants.where(F.col("n") > hot).select("tbl", "text", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    if often.head(1):
+        holders = known.join(often, ["tbl", "text"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    else:
+        holders = known.withColumn("salt", F.lit(0))
+    for side in ("a", "b"):
+        salts = F.explode(F.sequence(F.lit(0), F.ceil(F.col(f"{side}_n") / hot).cast("int") - 1))
+        held = holders.select("tbl", F.col("text").alias(f"{side}_text"), F.col("id").alias(side), "salt")
+        both = both.withColumn("salt", salts).join(held, ["tbl", f"{side}_text", "salt"]).drop("salt")
     return both.where("a <> b").select("tbl", F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id")).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgeline.llm.bpe import encode_corpus
 from ridgeline.llm.canonical import place_categories
 from ridgeline.llm.leaks import leaked_items
-from ridgeline.llm.lookalike import confusable_pairs, named_records, one_form
+from ridgeline.llm.lookalike import confusable_classes, confusable_pairs, named_records, one_form
 from ridgeline.llm.neardup import same_rides
 from ridgeline.llm.subjects import composition, subjects_of
 from ridgeline.plans import Registry
@@ -36,6 +36,11 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_form(_names(spark, sf_dir).select("tbl", "text")).where("text <> form")
 
 
+@registry.query("p4_classes")
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable_classes(_names(spark, sf_dir))
+
+
 @registry.query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))

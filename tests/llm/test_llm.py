@@ -21,6 +21,9 @@ def test_look_alike_pairs(spark):
     want = {("poi", a, b) for a in ids for b in ids if a < b} | {("poi", a, 50) for a in ids if a}
     assert got == want
     assert lookalike.confusable_pairs(spark.createDataFrame([], NAMED)).count() == 0
+    named = spark.createDataFrame([(*r, "x", 1) for r in rows], NAMED)
+    assert {tuple(r) for r in lookalike.confusable_pairs(named, hot=1).collect()} == want  # every form in blocks, every text salted
+    assert [(r["tbl"], r["texts"], r["records"]) for r in lookalike.confusable_classes(named).collect()] == [("poi", 6, 7)]
 
 
 def test_ligatures_and_marks_on_look_alikes():
