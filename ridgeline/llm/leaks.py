@@ -42,6 +42,8 @@ SEGMENT = 1 << 16
 HOT = 50_000
 #: Documents go through the judge once for each so many passages there are.
 TOGETHER = 256
+#: Letters of passages that are shipped to the workers, and candidate pairs that are sent to the documents; beyond these both are shuffled.
+SHIPPED, SENT = 32_000_000, 2_000_000
 UNITS = frozenset("km m cm mm kmh h min s uur uhr std minuten heures kg g ton l ml euro eur volt watt kwh grad degrees hm".split())
 NAME, NUMBER, UNIT, OTHER = 1, 2, 3, 4
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -407,7 +409,7 @@ def judge(passage: Passage, text: Text, size: int, alike: bool = True) -> tuple[
     return None
 
 
-def _judged(filters: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judged(filters: tuple, shipped, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cutter = Cutter(filters)
     numbers = Numbers()
     passages: dict[int, Passage] = {}
@@ -419,7 +421,7 @@ def _judged(filters: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
         for items, several in zip(pdf["item_id"], pdf["passage"], strict=True):
             for item, passage in zip(items, several, strict=True):
                 if item not in passages:
-                    passages[item] = Passage(*cutter(passage), numbers)
+                    passages[item] = Passage(*cutter(shipped.value[item] if shipped else passage), numbers)
         size = len(numbers) + 1
         for doc, text, items, alike in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["alike"], strict=True):
             one = Text(*cutter(text), numbers)
@@ -461,12 +463,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, hot: int = HOT) -> Data
     filters = tuple(spark.sparkContext.broadcast(bloom_of(w).words) for w in (words.where("named"), words))
     windows = cut(known.mapInPandas(lambda it: _passage_windows(filters, it), "item_id long, key long, n int, need int, same int"))
     pairs = candidate_pairs(texts, windows, filters, hot)
-    # a text goes to the judge with the passages it may hold, in lists of bounded length
-    lists = F.lit(-(-known.count() // TOGETHER) or 1)
-    asked = (
-        pairs.join(known, "item_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id"), lists).alias("list"))
-        .agg(F.collect_list(F.struct("item_id", "passage", "alike")).alias("of")).select("doc_id", "of.item_id", "of.passage", "of.alike")
-    )
+    # a text goes to the judge with the passages it may hold, in lists of bounded length; passages of bounded size are shipped, others joined
+    size = known.agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("passage")).alias("letters")).first()
+    lists = F.pmod(F.xxhash64("item_id"), F.lit(-(-size["passages"] // TOGETHER) or 1)).alias("list")
+    if (size["letters"] or 0) <= SHIPPED:
+        shipped = spark.sparkContext.broadcast({r["item_id"]: r["passage"] for r in known.collect()})
+        held = F.struct("item_id", F.lit(None).cast("string").alias("passage"), "alike")
+    else:
+        shipped, pairs = None, pairs.join(known, "item_id")
+        held = F.struct("item_id", "passage", "alike")
+    asked = cut(pairs.groupBy("doc_id", lists).agg(F.collect_list(held).alias("of")).select("doc_id", "of.item_id", "of.passage", "of.alike"))
+    if shipped is not None and (asked.agg(F.sum(F.size("item_id"))).first()[0] or 0) <= SENT:
+        asked = F.broadcast(asked)
     judged = texts.join(asked, "doc_id").select("doc_id", "text", "item_id", "passage", "alike")
-    out = judged.mapInPandas(lambda it: _judged(filters, it), "doc_id long, item_id long, kind string, share double")
+    out = judged.mapInPandas(lambda it: _judged(filters, shipped, it), "doc_id long, item_id long, kind string, share double")
     return out.groupBy("doc_id", "item_id", "kind").agg(F.max("share").alias("share"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from ridgeline.llm import leaks
 
@@ -49,7 +50,9 @@ def test_join_equals_brute_force_with_and_without_hot_windows(spark):
         assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 30
 
 
-def test_more_passages_than_one_block_held_before(spark):
+@pytest.mark.parametrize("shipped", [leaks.SHIPPED, 0])
+def test_more_passages_than_one_block_held_before(spark, monkeypatch, shipped):
+    monkeypatch.setattr(leaks, "SHIPPED", shipped)
     rng = random.Random(3)
     passages = [" ".join(f"w{rng.randrange(10**6)}x" for _ in range(14)) for _ in range(5000)]
     docs, items = _frames(spark, [passages[4999], passages[17] + " and " + passages[4242], "nothing"], passages)
