@@ -24,27 +24,42 @@ def test_geodesic_distance():
     assert geo.vincenty(51, 4, 51, 4) == 0
 
 
-def test_gain_loss_folds():
-    assert K.gain_loss(np.array([0, 0.5, 0, 0.5, 0.0])) == (0, 0)
-    assert K.gain_loss(np.array([0, 10, 0.0])) == (10, 10)
-    assert K.gain_loss(np.array([0, 5, 5.5])) == (5.5, 0)
+def folded(spark, *lines):
+    """(gain, loss) of each line of heights."""
+    rows = spark.createDataFrame([(n, [float(v) for v in line]) for n, line in enumerate(lines)], "n int, v array<double>")
+    return [tuple(r["f"]) for r in rows.select("n", K.gain_loss_column(F.col("v")).alias("f")).orderBy("n").collect()]
 
 
-def test_gain_loss_column_is_the_same_fold(spark):
-    rows = [([0.0, 0.5, 0.0, 0.5, 0.0],), ([0.0, 10.0, 0.0],), ([0.0, 5.0, 5.5],), ([3.0],), ([],)]
-    got = [tuple(r["f"]) for r in spark.createDataFrame(rows, "v array<double>").select(K.gain_loss_column(F.col("v")).alias("f")).collect()]
-    assert got == [K.gain_loss(np.array(v[0])) for v in rows]
+def test_gain_loss_folds(spark):
+    assert folded(spark, [0, 0.5, 0, 0.5, 0], [0, 10, 0], [0, 5, 5.5], [3], []) == [(0, 0), (10, 10), (5.5, 0), (0, 0), (0, 0)]
 
 
-def test_hill_and_noise():
+def test_hill_and_noise(spark):
     d = np.arange(0, 10_001, 10.0)
-    hill = np.interp(d, [0, 5000, 10_000], [0, 100, 0])
-    gain, loss = K.gain_loss(K.smoothed_profile(d, hill)[1])
-    assert abs(gain - 100) < 3 and abs(loss - 100) < 3
-    noise = np.random.default_rng(1).uniform(-1.5, 1.5, 2001)
-    assert K.gain_loss(K.smoothed_profile(np.arange(0, 20_001, 10.0), noise)[1])[0] < 60
-    grid, _ = K.smoothed_profile(np.array([0, 12.0, 25.0]), np.array([1.0, np.nan, 2.0]))
-    assert grid.tolist() == [0, 10, 20, 25]
+    hill = K.elevation_grid(d, np.interp(d, [0, 5000, 10_000], [0, 100, 0]))
+    noise = K.elevation_grid(np.arange(0, 20_001, 10.0), np.random.default_rng(1).uniform(-1.5, 1.5, 2001))
+    (gain, loss), (noise_gain, _) = folded(spark, hill[1], noise[1])
+    assert abs(gain - 100) < 3 and abs(loss - 100) < 3 and noise_gain < 60
+    grid, _ = K.elevation_grid(np.array([0, 12.0, 25.0]), np.array([1.0, np.nan, 2.0]))
+    assert grid.tolist() == [0, 10, 20, 25] and K.elevation_grid(np.array([0.0, 5.0]), np.array([1.0, np.nan])) is None
+
+
+def test_climbing_stretches_are_joined_by_class():
+    grid = np.arange(0, 1001, 10.0)
+    up = K.climbing_stretches(grid, np.interp(grid, [0, 400, 600, 1000], [0, 16, 16, 56]))
+    assert up.to_numpy().tolist() == [[0, 400, 0], [600, 1000, 3 - 1]] or up["begin"].tolist() == [0, 600]
+    assert K.climbing_stretches(grid, np.zeros(len(grid))).empty
+
+
+def test_statistics_and_profile_with_heights(spark):
+    la, lo = east()
+    n = len(la)
+    ele = [float(v) for v in np.interp(np.arange(n), [0, n // 2, n - 1], [10, 60, 10])]
+    lines = spark.createDataFrame([(1, [float(v) for v in la], [float(v) for v in lo], ele), (2, [float(v) for v in la], [float(v) for v in lo], None)], "id long, lat array<double>, lon array<double>, ele array<double>")
+    one, two = K.route_statistics(lines).orderBy("id").collect()
+    assert abs(one["elevation_gain_m"] - 50) <= 2 and abs(one["elevation_loss_m"] - 50) <= 2 and one["min_elevation_m"] >= 10 and two["elevation_gain_m"] is None
+    columns = K.profile_columns(K.profiles(lines), 20)
+    assert columns.count() == 20 and columns.where("ele IS NULL").count() == 0 and columns.agg(F.max("ele")).first()[0] == pytest.approx(60, abs=2)
 
 
 def test_simplify_keeps_ends_and_corners():
