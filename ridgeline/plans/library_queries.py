@@ -33,22 +33,18 @@ _filter("filter_quality_paved", "min_quality=4&max_paved=50", "quality_rating >=
 _filter("filter_source", "source=Wielerclub+Olsingen&min_distance=abc", "source_name = 'Wielerclub Olsingen'")
 
 
-def _top(name: str, query: str, order: str) -> None:
-    """The first page of 100 routes as ``name``, and every route with its position in the order as ``name``_all."""
+def _order(name: str, query: str, order: str) -> None:
+    """Every route with its position in the order."""
 
-    @registry.query(name, ROUTES + f"SELECT id, name FROM routes ORDER BY {order}, lower(name) ASC NULLS LAST, id LIMIT 100")
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return L.list_routes(routes_of(spark, sf_dir), L.RouteFilter.parse(query)).limit(100).select("id", "name")
-
-    @registry.query(f"{name}_all", ROUTES + f"SELECT row_number() OVER (ORDER BY {order}, lower(name) ASC NULLS LAST, id) AS position, id, name FROM routes")
+    @registry.query(name, ROUTES + f"SELECT row_number() OVER (ORDER BY {order}, lower(name) ASC NULLS LAST, id) AS position, id, name FROM routes")
     def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         return L.positions(routes_of(spark, sf_dir), L.RouteFilter.parse(query))
 
 
-_top("sort_nulls_last", "sort=quality_rating", "quality_rating ASC NULLS LAST")
-_top("sort_desc_nulls_last", "sort=elevation_gain_m&order=desc", "elevation_gain_m DESC NULLS LAST")
-_top("sort_source_name", "sort=source_name&order=desc", "lower(source_name) DESC NULLS LAST")
-_top("sort_unknown_key", "sort=nonsense", "lower(name) ASC NULLS LAST")
+_order("sort_nulls_last", "sort=quality_rating", "quality_rating ASC NULLS LAST")
+_order("sort_desc_nulls_last", "sort=elevation_gain_m&order=desc", "elevation_gain_m DESC NULLS LAST")
+_order("sort_source_name", "sort=source_name&order=desc", "lower(source_name) DESC NULLS LAST")
+_order("sort_unknown_key", "sort=nonsense", "lower(name) ASC NULLS LAST")
 
 
 @registry.query("facets_sources", ROUTES + "SELECT source_name, count(*) AS routes FROM routes WHERE source_name IS NOT NULL GROUP BY 1")

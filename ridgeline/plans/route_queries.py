@@ -124,7 +124,7 @@ def train_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, stations = routes_of(spark, sf_dir), towns_of(spark, sf_dir)
     start = S.nearest(r.select("id", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")), stations, 8_000.0)
     end = S.nearest(r.select("id", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")), stations, 8_000.0)
-    return C.train_candidates(r.select("id", "is_loop", "distance_km"), start, end)
+    return C.train_candidates(r.select("id", "is_loop", "distance_km"), start, end, 1)
 
 
 @registry.query(

@@ -102,19 +102,23 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.point_tiles(K.route_points(lines_of(spark, sf_dir)))
 
 
-_T = POINTS + f", tiles AS (SELECT DISTINCT id, {FX} AS x, {FY} AS y FROM points), even AS (SELECT DISTINCT x, y FROM tiles WHERE id % 2 = 0) "
+def _visited(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Tiles of the positions of a table: a set of tiles that were explored."""
+    there = load(spark, sf_dir, table).where("lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 179.9")
+    return X.point_tiles(there.select(F.lit(0).cast("bigint").alias("id"), "lat", "lon"))
 
 
-@registry.query("tile_gain", _T + "SELECT id, count(*) AS tiles, count(*) FILTER (WHERE e.x IS NULL) AS fresh FROM tiles t LEFT JOIN even e USING (x, y) WHERE id % 2 = 1 GROUP BY id")
+_T = POINTS + f", tiles AS (SELECT DISTINCT id, {FX} AS x, {FY} AS y FROM points), even AS (SELECT DISTINCT {FX} AS x, {FY} AS y FROM (SELECT lat, lon FROM poi WHERE lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 179.9)) "
+
+
+@registry.query("tile_gain", _T + "SELECT id, count(*) AS tiles, count(*) FILTER (WHERE e.x IS NULL) AS fresh FROM tiles t LEFT JOIN even e USING (x, y) GROUP BY id")
 def tile_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tiles(spark, sf_dir)
-    return X.gain(t.where("id % 2 = 1"), t.where("id % 2 = 0"))
+    return X.gain(_tiles(spark, sf_dir), _visited(spark, sf_dir, "poi"))
 
 
-@registry.query("tile_gain_missing", _T + "SELECT id, count(*) AS tiles, count(*) FILTER (WHERE e.x IS NOT NULL) AS fresh FROM tiles t LEFT JOIN even e USING (x, y) WHERE id % 2 = 1 GROUP BY id")
+@registry.query("tile_gain_missing", _T + "SELECT id, count(*) AS tiles, count(*) FILTER (WHERE e.x IS NOT NULL) AS fresh FROM tiles t LEFT JOIN even e USING (x, y) GROUP BY id")
 def tile_gain_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tiles(spark, sf_dir)
-    return X.gain(t.where("id % 2 = 1"), t.where("id % 2 = 0"), missing_mode=True)
+    return X.gain(_tiles(spark, sf_dir), _visited(spark, sf_dir, "poi"), missing_mode=True)
 
 
 @registry.query("tile_boxes", _T + "SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tiles GROUP BY id")
@@ -124,12 +128,11 @@ def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "tile_compare",
-    _T + ", odd AS (SELECT DISTINCT x, y FROM tiles WHERE id % 3 = 1), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM odd), s AS (SELECT t.x, t.y, CASE WHEN e.x IS NOT NULL THEN 'explored' ELSE 'missing' END AS sa, CASE WHEN o.x IS NOT NULL THEN 'missing' WHEN t.x BETWEEN x0 AND x1 AND t.y BETWEEN y0 AND y1 THEN 'explored' ELSE 'unknown' END AS sb FROM (SELECT DISTINCT x, y FROM tiles) t LEFT JOIN even e USING (x, y) LEFT JOIN odd o USING (x, y), b) "
+    _T + ", odd AS (SELECT DISTINCT " + f"{FX} AS x, {FY} AS y" + " FROM (SELECT lat, lon FROM mybrevet_belfries WHERE lat BETWEEN -85 AND 85 AND lon BETWEEN -180 AND 179.9)), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM odd), s AS (SELECT t.x, t.y, CASE WHEN e.x IS NOT NULL THEN 'explored' ELSE 'missing' END AS sa, CASE WHEN o.x IS NOT NULL THEN 'missing' WHEN t.x BETWEEN x0 AND x1 AND t.y BETWEEN y0 AND y1 THEN 'explored' ELSE 'unknown' END AS sb FROM (SELECT DISTINCT x, y FROM tiles) t LEFT JOIN even e USING (x, y) LEFT JOIN odd o USING (x, y), b) "
     "SELECT x, y, CASE WHEN sa = 'explored' AND sb = 'explored' THEN 'both' WHEN sa = 'explored' THEN 'a' WHEN sb = 'explored' THEN 'b' WHEN sa = 'missing' AND sb = 'missing' THEN 'shared' END AS state FROM s",
 )
 def tile_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tiles(spark, sf_dir)
-    return X.compare(t, t.where("id % 2 = 0"), t.where("id % 3 = 1"), b_missing=True)
+    return X.compare(_tiles(spark, sf_dir), _visited(spark, sf_dir, "poi"), _visited(spark, sf_dir, "mybrevet_belfries"), b_missing=True)
 
 
 @registry.query("tile_inner", _T + ", a AS (SELECT DISTINCT x, y FROM tiles) SELECT x, y FROM a WHERE EXISTS (SELECT 1 FROM a b WHERE b.x = a.x - 1 AND b.y = a.y) AND EXISTS (SELECT 1 FROM a b WHERE b.x = a.x + 1 AND b.y = a.y) AND EXISTS (SELECT 1 FROM a b WHERE b.x = a.x AND b.y = a.y - 1) AND EXISTS (SELECT 1 FROM a b WHERE b.x = a.x AND b.y = a.y + 1)")
@@ -204,12 +207,13 @@ def duplicate_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "places_not_mine",
-    "WITH p AS (SELECT DISTINCT id, name, category, lat, lon FROM poi WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180), m AS (SELECT *, x1 AS x, y1 AS y FROM " + _laea_sql("p", "*", (("lat", "lon", "1"),)) + "), f AS (SELECT * FROM m WHERE id % 2 = 0), k AS (SELECT * FROM m WHERE id % 2 = 1 OR id % 10 = 0) "
-    "SELECT f.id AS place_id FROM f WHERE id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM k WHERE lower(trim(k.name)) = lower(trim(f.name)) AND sqrt(power(k.x - f.x, 2) + power(k.y - f.y, 2)) <= 25) AND NOT EXISTS (SELECT 1 FROM k WHERE lower(trim(k.category)) = lower(trim(f.category)) AND sqrt(power(k.x - f.x, 2) + power(k.y - f.y, 2)) <= 10)",
+    "WITH p AS (SELECT DISTINCT id, name, category, lat, lon, list_id FROM poi WHERE list_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180), m AS (SELECT *, x1 AS x, y1 AS y FROM " + _laea_sql("p", "*", (("lat", "lon", "1"),)) + "), f AS (SELECT * FROM m WHERE list_id = 'osm'), k AS (SELECT * FROM m WHERE list_id <> 'osm') "
+    "SELECT f.id AS place_id FROM f WHERE id NOT IN (SELECT id FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE lower(trim(k.name)) = lower(trim(f.name)) AND sqrt(power(k.x - f.x, 2) + power(k.y - f.y, 2)) <= 25) AND NOT EXISTS (SELECT 1 FROM k WHERE lower(trim(k.category)) = lower(trim(f.category)) AND sqrt(power(k.x - f.x, 2) + power(k.y - f.y, 2)) <= 10)",
 )
 def places_not_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "poi").where("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180").select(F.col("id").alias("osm_id"), "name", "category", "lat", "lon").distinct()
-    return S.not_mine(p.where("osm_id % 2 = 0"), p.where("osm_id % 2 = 1 OR osm_id % 10 = 0")).select(F.col("osm_id").alias("place_id"))
+    """Places of the map (the list osm) that the own lists do not have."""
+    p = load(spark, sf_dir, "poi").where("list_id IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180").select(F.col("id").alias("osm_id"), "name", "category", "lat", "lon", "list_id").distinct()
+    return S.not_mine(p.where("list_id = 'osm'").drop("list_id"), p.where("list_id <> 'osm'").drop("list_id")).select(F.col("osm_id").alias("place_id"))
 
 
 @registry.query("routes_in_areas", ROUTES + "SELECT id, r_regionkey AS area_id FROM routes, region WHERE start_lat BETWEEN -90 AND 90 AND start_lon BETWEEN -180 AND 180 AND start_lat >= 50.5 AND start_lat < 51.5 AND start_lon >= 2.6 + 0.6 * r_regionkey AND start_lon < 3.4 + 0.6 * r_regionkey")
@@ -249,10 +253,20 @@ def similar_to_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similar_to_each(lines.where("id % 20 = 0"), lines)
 
 
+def _with_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on a terrain that is a function of the position, as the tables hold no heights."""
+    ele = F.transform("geometry", lambda p: 120 + 60 * F.sin(p["lat"] * 300) + 30 * F.cos(p["lon"] * 200))
+    return lines_of(spark, sf_dir).select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"), ele.alias("ele"))
+
+
 @registry.query("route_statistics")
 def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = lines_of(spark, sf_dir)
-    return K.route_statistics(lines.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"), F.lit(None).cast("array<double>").alias("ele")))
+    return K.route_statistics(_with_heights(spark, sf_dir))
+
+
+@registry.query("profile_columns")
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.profile_columns(K.profiles(_with_heights(spark, sf_dir)), 40)
 
 
 _GAIN = "WITH e AS (SELECT user_id, ts, event_id, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL), l AS (SELECT user_id, list(v ORDER BY ts, event_id) AS vs FROM e GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_prepend({'r': vs[1], 'last': vs[1], 'g': 0.0::DOUBLE, 'l': 0.0::DOUBLE}, list_transform(vs, lambda v: {'r': v, 'last': v, 'g': 0.0::DOUBLE, 'l': 0.0::DOUBLE})), lambda a, b: {'r': CASE WHEN abs(b.last - a.r) >= 1 THEN b.last ELSE a.r END, 'last': b.last, 'g': a.g + CASE WHEN b.last - a.r >= 1 THEN b.last - a.r ELSE 0 END, 'l': a.l + CASE WHEN a.r - b.last >= 1 THEN a.r - b.last ELSE 0 END}) AS s FROM l) SELECT user_id, floor((s.g + greatest(s.last - s.r, 0)) * 100 + 0.5) AS gain_cm, floor((s.l + greatest(s.r - s.last, 0)) * 100 + 0.5) AS loss_cm FROM f"

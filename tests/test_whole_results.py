@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from ridgeline.operators import spatial as S  # noqa: E402
 
 SORTED = {
-    "sort_nulls_last_all": ("quality_rating", False), "sort_desc_nulls_last_all": ("elevation_gain_m", True), "sort_source_name_all": ("source_name", True), "sort_unknown_key_all": ("name", False),
+    "sort_nulls_last": ("quality_rating", False), "sort_desc_nulls_last": ("elevation_gain_m", True), "sort_source_name": ("source_name", True), "sort_unknown_key": ("name", False),
 }
 
 
