@@ -147,6 +147,16 @@ def tile_y(lat: Column, zoom: int = TILE_ZOOM) -> Column:
     return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * n))).cast("int")
 
 
+def tile_x_exact(lon: Column, zoom: int = TILE_ZOOM) -> Column:
+    """Place on the tile axis, with its fraction."""
+    return (lon + 180) / 360 * 2**zoom
+
+
+def tile_y_exact(lat: Column, zoom: int = TILE_ZOOM) -> Column:
+    phi = F.radians(F.greatest(F.lit(-85.0511), F.least(F.lit(85.0511), lat)))
+    return (1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * 2**zoom
+
+
 def tile_lon(x: Column, zoom: int = TILE_ZOOM) -> Column:
     return x / F.lit(2**zoom) * 360 - 180
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.operators import catalog as G
+from ridgeline.operators import merge as B
 from ridgeline.operators import tiles as X
 from ridgeline.operators import trees as C
 from ridgeline.plans import Registry
@@ -14,6 +15,7 @@ from ridgeline.plans.library_queries import ROUTES, routes_of
 from ridgeline.plans.route_queries import _TREE, _tree
 from ridgeline.plans.spatial_queries import FX, FY, LINES, POINTS, _tiles, lines_of
 from ridgeline.session import load
+from ridgeline.sources import exchange as Z
 
 registry = Registry()
 
@@ -204,3 +206,117 @@ def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("weather_kinds", "SELECT event_id, CASE WHEN c = 0 THEN 'clear' WHEN c <= 2 THEN 'fair' WHEN c = 3 THEN 'cloud' WHEN c IN (45, 48) THEN 'fog' WHEN c >= 95 THEN 'thunder' WHEN c BETWEEN 71 AND 77 OR c IN (85, 86) THEN 'snow' ELSE 'rain' END AS kind FROM (SELECT event_id, user_id % 100 AS c FROM events)")
 def weather_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", G.weather_kind(F.col("user_id") % 100).alias("kind"))
+
+
+# ways matched to pieces of a track: line items as pieces, their suppliers as surfaces
+_MATCHED = (
+    "WITH m AS (SELECT l_orderkey AS id, row_number() OVER w AS seq, sum(l_quantity * 10) OVER w - l_quantity * 10 AS from_m, sum(l_quantity * 10) OVER w AS to_m, "
+    "CASE l_suppkey % 6 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'sett' WHEN 2 THEN 'gravel' WHEN 3 THEN 'mud' WHEN 4 THEN 'asphalt' END AS surface FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING)), "
+    "c AS (SELECT *, CASE surface WHEN 'asphalt' THEN 'paved' WHEN 'sett' THEN 'cobbles' WHEN 'gravel' THEN 'unpaved' WHEN 'mud' THEN 'unpaved' ELSE 'unknown' END AS category FROM m) "
+)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    by = line.rowsBetween(W.unboundedPreceding, 0)
+    at = F.sum(F.col("l_quantity").cast("double") * 10).over(by)
+    surface = F.expr("CASE l_suppkey % 6 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'sett' WHEN 2 THEN 'gravel' WHEN 3 THEN 'mud' WHEN 4 THEN 'asphalt' END")
+    m = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("id"), F.row_number().over(line).alias("seq"), (at - F.col("l_quantity") * 10).cast("double").alias("from_m"), at.alias("to_m"), surface.alias("surface"))
+    return m.withColumn("tags", F.when(F.col("surface").isNotNull(), F.create_map(F.lit("surface"), F.col("surface"))))
+
+
+@registry.query(
+    "surface_shares",
+    _MATCHED + "SELECT id, round(sum(CASE WHEN category = 'paved' THEN to_m - from_m ELSE 0 END) / 1000, 3) AS paved_km, round(sum(CASE WHEN category = 'unknown' THEN to_m - from_m ELSE 0 END) / 1000, 3) AS unknown_km, "
+    "CASE WHEN sum(CASE WHEN category <> 'unknown' THEN to_m - from_m ELSE 0 END) >= 0.5 * sum(to_m - from_m) THEN floor(100 * sum(CASE WHEN category IN ('paved', 'cobbles') THEN to_m - from_m ELSE 0 END) / sum(CASE WHEN category <> 'unknown' THEN to_m - from_m ELSE 0 END) + 0.5) END AS paved_pct FROM c GROUP BY id",
+)
+def surface_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.surface_summary(_matched(spark, sf_dir)).select("id", "paved_km", "unknown_km", F.col("paved_pct").cast("double").alias("paved_pct"))
+
+
+@registry.query(
+    "surface_stretches",
+    _MATCHED + ", n AS (SELECT *, sum(CASE WHEN category = prev THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY seq) AS stretch FROM (SELECT *, lag(category) OVER (PARTITION BY id ORDER BY seq) AS prev FROM c)) SELECT id, CAST(stretch AS BIGINT) AS stretch, min(category) AS category, min(from_m) AS from_m, max(to_m) AS to_m FROM n GROUP BY id, stretch",
+)
+def surface_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.surface_stretches(_matched(spark, sf_dir)).select("id", "stretch", "category", "from_m", "to_m")
+
+
+@registry.query("surface_top", _MATCHED + "SELECT id, rank, surface, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km DESC, surface) AS rank FROM (SELECT id, surface, sum(to_m - from_m) / 1000 AS km FROM c WHERE surface IS NOT NULL GROUP BY id, surface)) WHERE rank <= 8")
+def surface_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_surfaces(_matched(spark, sf_dir))
+
+
+@registry.query("paved_estimates", ROUTES + "SELECT id, CASE WHEN quality_rating = 5 THEN paved_pct WHEN elevation_gain_m IS NOT NULL THEN CAST(elevation_gain_m % 101 AS DOUBLE) ELSE paved_pct END AS paved_pct, CASE WHEN quality_rating = 5 THEN 'manual' WHEN elevation_gain_m IS NOT NULL THEN 'estimated' END AS paved_source FROM routes")
+def paved_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = routes_of(spark, sf_dir).withColumn("paved_source", F.when(F.col("quality_rating") == 5, "manual"))
+    return B.applied_estimate(r.select("id", "paved_pct", "paved_source"), r.select("id", (F.col("elevation_gain_m") % 101).alias("paved_pct")))
+
+
+_BACKUP = (
+    ROUTES + ", lib AS (SELECT id, file_hash, track_index, track_hash FROM routes WHERE imported_at < TIMESTAMP '2023-01-01' OR imported_at IS NULL), bak AS (SELECT id AS old_id, file_hash, track_index, track_hash, derived_from FROM routes), "
+    "f AS (SELECT file_hash, track_index, min(id) AS id FROM lib WHERE file_hash IS NOT NULL GROUP BY 1, 2), t AS (SELECT track_hash, min(id) AS id FROM lib WHERE track_hash IS NOT NULL GROUP BY 1), "
+    "met AS (SELECT old_id, derived_from, coalesce(f.id, t.id) AS id FROM bak LEFT JOIN f ON f.file_hash = bak.file_hash AND f.track_index IS NOT DISTINCT FROM bak.track_index LEFT JOIN t ON t.track_hash = bak.track_hash), "
+    "ids AS (SELECT old_id, id, false AS is_new FROM met WHERE id IS NOT NULL UNION ALL SELECT old_id, (SELECT max(id) FROM lib) + row_number() OVER (ORDER BY old_id), true FROM met WHERE id IS NULL) "
+)
+
+
+def _backup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = routes_of(spark, sf_dir).select("id", "file_hash", "track_index", "track_hash", "derived_from", "imported_at")
+    return B.id_map(r.where("imported_at < timestamp'2023-01-01' OR imported_at IS NULL"), r), r
+
+
+@registry.query("backup_ids", _BACKUP + "SELECT * FROM ids")
+def backup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _backup(spark, sf_dir)[0]
+
+
+@registry.query(
+    "backup_references",
+    _BACKUP + ", u AS (SELECT old_id, unnest(derived_from) AS ref, generate_subscripts(derived_from, 1) AS n FROM bak WHERE derived_from IS NOT NULL), x AS (SELECT o.id, i.id AS new_ref FROM u JOIN ids i ON i.old_id = u.ref JOIN ids o ON o.old_id = u.old_id) SELECT id, count(DISTINCT new_ref) AS refs FROM x GROUP BY id",
+)
+def backup_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, r = _backup(spark, sf_dir)
+    return B.remapped_references(r, ids).select("id", F.size("derived_from").cast("bigint").alias("refs"))
+
+
+@registry.query("selected_pairs", ROUTES + "SELECT DISTINCT least(id, x) AS a_id, greatest(id, x) AS b_id FROM (SELECT id, unnest(derived_from) AS x FROM routes) u WHERE x IS NOT NULL AND x <> id AND id IN (SELECT id FROM routes WHERE activity = 'gravel') AND x IN (SELECT id FROM routes WHERE activity = 'gravel')")
+def selected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = routes_of(spark, sf_dir)
+    pairs = r.select("id", F.explode("derived_from").alias("x")).where("x IS NOT NULL AND x <> id").select(F.least("id", "x").alias("a_id"), F.greatest("id", "x").alias("b_id")).distinct()
+    return B.pairs_inside(pairs, r.where("activity = 'gravel'")).select("a_id", "b_id")
+
+
+@registry.query("selected_collections", f"WITH RECURSIVE {_TREE}, up AS (SELECT id, id AS ancestor FROM collections UNION SELECT u.id, c.parent_id FROM up u JOIN collections c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL), h AS (SELECT DISTINCT id % 25 AS id FROM library_routes WHERE quality_rating = 5 AND elevation_gain_m > 900) SELECT c.id, c.name FROM collections c WHERE c.id IN (SELECT ancestor FROM up JOIN h USING (id))")
+def selected_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, r = _tree(spark, sf_dir), load(spark, sf_dir, "library_routes")
+    members = r.select((F.col("id") % 25).alias("collection_id"), F.col("id").alias("route_id"))
+    return B.selected_collections(t, members, r.where("quality_rating = 5 AND elevation_gain_m > 900"), C.closure(t)).select("id", "name")
+
+
+_PASSED = "p AS (SELECT user_id AS id, event_type || ' ' || (event_id % 13) AS place, (event_id % 1000) / 1000.0 AS pos, CAST(value AS DOUBLE) AS score, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' END AS role FROM events WHERE value IS NOT NULL)"
+
+
+@registry.query(
+    "route_names",
+    f"WITH {_PASSED}, e AS (SELECT id, min(CASE WHEN role = 'start' THEN place END) AS s, min(CASE WHEN role = 'end' THEN place END) AS f FROM p GROUP BY id), b AS (SELECT id, place, max(score) AS score FROM p WHERE role IS NULL AND pos BETWEEN 0.05 AND 0.95 GROUP BY id, place), "
+    "c AS (SELECT b.id, b.place, b.score, min(p.pos) AS pos FROM b JOIN p ON p.id = b.id AND p.place = b.place AND p.score = b.score AND p.role IS NULL AND p.pos BETWEEN 0.05 AND 0.95 GROUP BY 1, 2, 3), "
+    "o AS (SELECT c.* FROM c JOIN e USING (id) WHERE c.place IS DISTINCT FROM s AND c.place IS DISTINCT FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY id, least(floor(pos * 3), 2) ORDER BY score DESC, pos, place) AS rn FROM o), "
+    "v AS (SELECT id, string_agg(place, ' – ' ORDER BY pos, place) AS via FROM r WHERE rn = 1 GROUP BY id) SELECT e.id, coalesce(nullif(concat_ws(' – ', s, via, CASE WHEN f IS DISTINCT FROM s THEN f END), ''), 'Unnamed route') AS name FROM e LEFT JOIN v USING (id)",
+)
+def route_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").where("value IS NOT NULL")
+    role = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end")
+    place = F.concat_ws(" ", "event_type", F.col("event_id") % 13)
+    return B.generated_names(e.select(F.col("user_id").alias("id"), place.alias("place"), (F.col("event_id") % 1000 / 1000).alias("pos"), F.col("value").cast("double").alias("score"), role.alias("role")))
+
+
+@registry.query("file_checksums", ROUTES + "SELECT CAST(id AS VARCHAR) AS path, sha256(name) AS sha256 FROM routes WHERE name IS NOT NULL")
+def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = routes_of(spark, sf_dir).where("name IS NOT NULL").select(F.col("id").cast("string").alias("path"), F.encode("name", "UTF-8").alias("content"))
+    return Z.checksums(files).select("path", "sha256")
+
+
+@registry.query("map_layers", r"SELECT DISTINCT file_name, regexp_replace(file_name, '\.[^.]*$', '') AS layer FROM place_set_lines")
+def map_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "place_set_lines").select("file_name").distinct().select("file_name", Z.map_and_layer(F.col("file_name"))["layer"].alias("layer"))

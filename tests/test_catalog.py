@@ -85,4 +85,4 @@ def test_train_patterns(spark):
     start = spark.createDataFrame([(1, 10, 1000), (2, 20, 500), (3, 30, 11_000)], "id long, target_id long, metres long")
     end = spark.createDataFrame([(1, 99, 2000), (2, 20, 700), (3, 99, 100)], "id long, target_id long, metres long")
     got = {tuple(r) for r in C.train_candidates(routes, start, end, home_id=99).collect()}
-    assert got == {(1, "out", 10, 99, False, 53.9, 3900), (1, "back", 99, 10, True, 53.9, 3900), (2, "loop", 20, 20, False, 31.5, 1560)}
+    assert got == {(1, "out", 10, 99, False, 53.9, 3900), (1, "back", 99, 10, True, 53.9, 3900), (2, "loop", 20, 20, False, 31.6, 1560)}
