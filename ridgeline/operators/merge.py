@@ -33,18 +33,17 @@ def surface_stretches(matched: DataFrame) -> DataFrame:
 def surface_summary(matched: DataFrame) -> DataFrame:
     """(id, paved_km, cobbles_km, unpaved_km, unknown_km, inferred_km, match_ratio, paved_pct) of matched tracks; the paved share only where half is known."""
     tags = F.coalesce("tags", F.create_map().cast("map<string,string>"))
-    p = matched.withColumn("s", T.surface_class(tags)).withColumn("km", (F.col("to_m") - F.col("from_m")) / 1000)
-    km = lambda c: F.sum(F.when(F.col("s.category") == c, F.col("km")).otherwise(0.0))
+    p = matched.withColumn("s", T.surface_class(tags)).withColumn("m", F.col("to_m") - F.col("from_m"))
+    of = lambda condition: F.sum(F.when(condition, F.col("m")).otherwise(0.0))
     total = p.groupBy("id").agg(
-        *(km(c).alias(f"{c}_km") for c in ("paved", "cobbles", "unpaved", "unknown")),
-        F.sum(F.when(F.col("s.inferred") & (F.col("s.category") != "unknown"), F.col("km")).otherwise(0.0)).alias("inferred_km"),
-        F.sum(F.when(F.col("tags").isNotNull(), F.col("km")).otherwise(0.0)).alias("matched_km"), F.sum("km").alias("route_km"),
+        *(of(F.col("s.category") == c).alias(f"{c}_m") for c in ("paved", "cobbles", "unpaved", "unknown")),
+        of(F.col("s.inferred") & (F.col("s.category") != "unknown")).alias("inferred_m"), of(F.col("tags").isNotNull()).alias("matched_m"), F.sum("m").alias("route_m"),
     )
-    known = F.col("paved_km") + F.col("cobbles_km") + F.col("unpaved_km")
-    share = F.when(known >= LEAST_KNOWN * F.col("route_km"), F.floor(100 * (F.col("paved_km") + F.col("cobbles_km")) / known + 0.5))
+    known = F.col("paved_m") + F.col("cobbles_m") + F.col("unpaved_m")
+    share = F.when(known >= LEAST_KNOWN * F.col("route_m"), F.floor(100 * (F.col("paved_m") + F.col("cobbles_m")) / known + 0.5))
     return total.select(
-        "id", *(F.round(c, 3).alias(c) for c in ("paved_km", "cobbles_km", "unpaved_km", "unknown_km", "inferred_km")),
-        F.round(F.col("matched_km") / F.nullif(F.col("route_km"), F.lit(0.0)), 3).alias("match_ratio"), share.alias("paved_pct"),
+        "id", *(F.round(F.col(f"{c}_m") / 1000, 3).alias(f"{c}_km") for c in ("paved", "cobbles", "unpaved", "unknown", "inferred")),
+        F.round(F.col("matched_m") / F.nullif(F.col("route_m"), F.lit(0.0)), 3).alias("match_ratio"), share.alias("paved_pct"),
     )
 
 
