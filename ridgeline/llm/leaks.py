@@ -18,6 +18,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -325,12 +326,19 @@ class Passage:
 
 
 class Text:
-    """A document cut once for all passages it is compared with."""
+    """A document cut once for all passages it is compared with; what few passages need is made when it is asked for."""
 
     def __init__(self, code: np.ndarray, key: np.ndarray, numbers: Numbers):
-        self.code, self.key = code, key
-        self.runs = set(run_keys(key).tolist())
-        self.template, self.words = numbers.of(code), numbers.of(key)
+        self.code, self.key, self.numbers = code, key, numbers
+        self.words = numbers.of(key)
+
+    @cached_property
+    def template(self) -> np.ndarray:
+        return self.numbers.of(self.code)
+
+    @cached_property
+    def runs(self) -> set[int]:
+        return set(run_keys(self.key).tolist())
 
 
 def run_keys(x: np.ndarray, length: int = RUN) -> np.ndarray:
@@ -397,7 +405,11 @@ def consistent(passage: Passage, code: np.ndarray, key: np.ndarray, place: int)
 
 def judge(passage: Passage, text: Text, size: int, alike: bool = True) -> tuple[str, float] | None:
     """Whether a text holds the passage: template and slots alike (quoted), or the template (if it may be ``alike``) with other slots."""
-    if not passage.runs.isdisjoint(text.runs):
+    if not len(text.words):
+        return None
+    # a run of RUN words can only be where so many words in a row are the passage's
+    held = np.cumsum(passage.words.holds(text.words, size))
+    if len(held) >= RUN and (held[RUN:] - held[:-RUN] == RUN).any() | (held[RUN - 1] == RUN) and not passage.runs.isdisjoint(text.runs):
         return "quoted", 1.0
     n = passage.n
     same, _ = most_in_one_place(text.words, passage.words, size, SHARE * n)
