@@ -46,9 +46,9 @@ def test_hill_and_noise(spark):
 
 def test_climbing_stretches_are_joined_by_class():
     grid = np.arange(0, 1001, 10.0)
-    up = K.climbing_stretches(grid, np.interp(grid, [0, 400, 600, 1000], [0, 16, 16, 56]))
-    assert up.to_numpy().tolist() == [[0, 400, 0], [600, 1000, 3 - 1]] or up["begin"].tolist() == [0, 600]
-    assert K.climbing_stretches(grid, np.zeros(len(grid))).empty
+    begin, end, cls = K.climbing_stretches(grid, np.interp(grid, [0, 400, 600, 1000], [0, 16, 16, 56]))
+    assert begin.tolist() == [0, 600] and end.tolist() == [400, 1000] and cls.tolist() == [0, 2]
+    assert not len(K.climbing_stretches(grid, np.zeros(len(grid)))[0])
 
 
 def test_statistics_and_profile_with_heights(spark):
