@@ -266,7 +266,7 @@ def route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("profile_columns")
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.profile_columns(K.profiles(_with_heights(spark, sf_dir)), 40)
+    return K.line_columns(_with_heights(spark, sf_dir), 40)
 
 
 _GAIN = "WITH e AS (SELECT user_id, ts, event_id, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL), l AS (SELECT user_id, list(v ORDER BY ts, event_id) AS vs FROM e GROUP BY user_id), f AS (SELECT user_id, list_reduce(list_prepend({'r': vs[1], 'last': vs[1], 'g': 0.0::DOUBLE, 'l': 0.0::DOUBLE}, list_transform(vs, lambda v: {'r': v, 'last': v, 'g': 0.0::DOUBLE, 'l': 0.0::DOUBLE})), lambda a, b: {'r': CASE WHEN abs(b.last - a.r) >= 1 THEN b.last ELSE a.r END, 'last': b.last, 'g': a.g + CASE WHEN b.last - a.r >= 1 THEN b.last - a.r ELSE 0 END, 'l': a.l + CASE WHEN a.r - b.last >= 1 THEN a.r - b.last ELSE 0 END}) AS s FROM l) SELECT user_id, floor((s.g + greatest(s.last - s.r, 0)) * 100 + 0.5) AS gain_cm, floor((s.l + greatest(s.r - s.last, 0)) * 100 + 0.5) AS loss_cm FROM f"
