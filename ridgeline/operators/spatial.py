@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
@@ -49,25 +51,143 @@ def segment_cells(segments: DataFrame, reach: float, size: float) -> DataFrame:
     )
 
 
+#: Edge of the tiles in which lines and places meet, and tests of a segment and a place at once.
+ALONG_M = 4000.0
+ALONG_TESTS = 200_000
+RUNS = "tile long, id long, distance_km double, total double, seq int, x array<double>, y array<double>, before array<double>"
+
+
+def _tile_of(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    return gx.astype(np.int64) * (1 << 20) + gy.astype(np.int64)
+
+
+def _runs(metres: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of lines within the distance of a tile: points of runs of segments, with the metres before each."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lat, lon = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lat", "lon"))
+        n = batch.column("lat").value_lengths().to_numpy(zero_copy_only=False)
+        x, y = geo.laea_arrays(lat, lon)
+        last = np.cumsum(n) - 1
+        line = np.repeat(np.arange(len(n)), n)
+        inner = np.ones(len(x), dtype=bool)
+        inner[last] = False
+        seg = np.flatnonzero(inner)
+        dx, dy = x[seg + 1] - x[seg], y[seg + 1] - y[seg]
+        m = np.zeros(len(x))
+        m[seg + 1] = np.sqrt(dx * dx + dy * dy)
+        before = np.concatenate([np.cumsum(m[low : high + 1]) for low, high in zip(last - n + 1, last, strict=True)])
+        # long segments in parts, so that a box stays small
+        parts = np.maximum(1, np.ceil(m[seg + 1] / ALONG_M)).astype(np.int64)
+        owner = np.repeat(np.arange(len(seg)), parts)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        edges = []
+        for v, d in ((x, dx), (y, dy)):
+            one, two = v[seg][owner] + k / parts[owner] * d[owner], v[seg][owner] + (k + 1) / parts[owner] * d[owner]
+            edges.append((np.floor((np.minimum(one, two) - metres - 1) / ALONG_M).astype(np.int64), np.floor((np.maximum(one, two) + metres + 1) / ALONG_M).astype(np.int64)))
+        (x0, x1), (y0, y1) = edges
+        wide, cells = x1 - x0 + 1, (x1 - x0 + 1) * (y1 - y0 + 1)
+        again = np.repeat(np.arange(len(owner)), cells)
+        k = np.arange(len(again)) - np.repeat(np.cumsum(cells) - cells, cells)
+        tile, at = _tile_of(x0[again] + k % wide[again], y0[again] + k // wide[again]), seg[owner[again]]
+        order = np.lexsort([at, tile, line[at]])
+        tile, at = tile[order], at[order]
+        own = line[at]
+        same = (tile[1:] == tile[:-1]) & (own[1:] == own[:-1])
+        once = np.r_[True, ~(same & (at[1:] == at[:-1]))]
+        tile, at, own = tile[once], at[once], own[once]
+        begin = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
+        points = np.diff(np.r_[begin, len(at)]) + 1
+        offsets = np.r_[0, np.cumsum(points)]
+        index = np.arange(offsets[-1]) + np.repeat(at[begin] - offsets[:-1], points)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v[index])) for v in (x, y, before)]
+        which = own[begin]
+        seq = (at[begin] - (last - n + 1)[which]).astype(np.int32)
+        take = pa.array(which)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tile[begin]), batch.column("id").take(take), batch.column("distance_km").take(take), pa.array(before[last][which]), pa.array(seq), *lists],
+            names=[c.split()[0] for c in RUNS.split(", ")],
+        )
+
+
+def _along(metres: float, runs: pa.Table, places: pa.Table) -> pa.Table:
+    """The nearest place of each line to each place of the tiles of a group; a line has its runs of a tile here, so nothing is left to bring together."""
+    runs, places = runs.sort_by([("tile", "ascending"), ("id", "ascending"), ("seq", "ascending")]), places.sort_by([("tile", "ascending"), ("px", "ascending")])
+    runs = runs.append_column("unknown", runs.column("distance_km").is_null())
+    column = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+    flat = lambda c: np.concatenate([np.empty(0), *(v.flatten().to_numpy(zero_copy_only=False) for v in runs.column(c).chunks)])
+    px, py, there = (column(places, c) for c in ("px", "py", "tile"))
+    x, y, before = (flat(c) for c in ("x", "y", "before"))
+    points = np.concatenate([np.empty(0, dtype=np.int64), *(v.value_lengths().to_numpy(zero_copy_only=False) for v in runs.column("x").chunks)])
+    run = np.repeat(np.arange(len(points)), points)
+    inner = np.ones(len(x), dtype=bool)
+    inner[np.cumsum(points) - 1] = False
+    at = np.flatnonzero(inner)
+    run = run[at]
+    seq = column(runs, "seq")[run] + (at - (np.cumsum(points) - points)[run])
+    ids, tile = column(runs, "id")[run], column(runs, "tile")[run]
+    x1, y1, x2, y2 = x[at], y[at], x[at + 1], y[at + 1]
+    # places of the tile whose x is in reach: the keys of places are in order by tile and x
+    low, high = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    tiles, first, count = np.unique(there, return_index=True, return_counts=True)
+    for t, f, c in zip(tiles, first, count, strict=True):
+        own = slice(*np.searchsorted(tile, [t, t + 1]))
+        low[own] = f + np.searchsorted(px[f : f + c], np.minimum(x1[own], x2[own]) - metres - 1)
+        high[own] = f + np.searchsorted(px[f : f + c], np.maximum(x1[own], x2[own]) + metres + 1, side="right")
+    tests = np.cumsum(np.r_[0, high - low])
+    # lines of a tile are not parted
+    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tile[1:] != tile[:-1])]) if len(at) else np.empty(0, dtype=np.int64)
+    bounds = [0]
+    for s in starts[1:].tolist():
+        if tests[s] - tests[bounds[-1]] >= ALONG_TESTS:
+            bounds.append(s)
+    found = [[np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)] * 2]
+    for one, two in zip(bounds, [*bounds[1:], len(at)], strict=True):
+        some = high[one:two] - low[one:two]
+        s = np.repeat(np.arange(one, two), some)
+        p = np.arange(len(s)) + np.repeat(low[one:two] - (np.cumsum(some) - some), some)
+        near = (py[p] >= np.minimum(y1, y2)[s] - metres) & (py[p] <= np.maximum(y1, y2)[s] + metres)
+        s, p = s[near], p[near]
+        dx, dy = (x2 - x1)[s], (y2 - y1)[s]
+        m = np.sqrt(dx * dx + dy * dy)
+        t = np.where(m > 0, np.clip(((px[p] - x1[s]) * dx + (py[p] - y1[s]) * dy) / np.where(m > 0, m * m, 1), 0.0, 1.0), 0.0)
+        d = np.sqrt((px[p] - (x1[s] + t * dx)) ** 2 + (py[p] - (y1[s] + t * dy)) ** 2)
+        (near,) = np.nonzero(d <= metres)
+        s, p, d, place_m = s[near], p[near], d[near], (before[at[s[near]]] + t[near] * m[near])
+        order = np.lexsort([seq[s], d, p, ids[s]])
+        s, p, d, place_m = s[order], p[order], d[order], place_m[order]
+        best = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (ids[s][1:] != ids[s][:-1])]) if len(s) else np.empty(0, dtype=np.int64)
+        found.append([s[best], p[best], d[best], place_m[best]])
+    s, p, d, place_m = (np.concatenate(v) for v in zip(*found, strict=True))
+    scaled, total = column(runs, "distance_km").astype(float)[run[s]], column(runs, "total")[run[s]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        km = np.floor(place_m * scaled / total * 10 + 0.5) / 10
+    unknown = column(runs, "unknown")[run[s]]
+    columns = [pa.array(ids[s]), places.column("place_id").combine_chunks().take(pa.array(p)), pa.array(km, mask=unknown), pa.array(np.floor(d + 0.5)), pa.array(d), pa.array(seq[s].astype(np.int32))]
+    return pa.Table.from_arrays(columns, names=["route_id", "place_id", "km", "off_m", "d", "seq"])
+
+
 def places_along(routes: DataFrame, places: DataFrame, metres: float) -> DataFrame:
-    """(route_id, place_id, km, off_m): places within the distance of a route, where it first is nearest; km scaled to the route's own distance."""
-    size = max(metres, 500.0)
-    segments = metric_segments(routes)
-    cells = segment_cells(segments, metres, size)
+    """(route_id, place_id, km, off_m): places within the distance of a route, where it first is nearest; km scaled to the route's own distance.
+
+    Lines are shuffled once, as the runs of segments near each tile; a place is in one tile, so what is found there is complete. Only
+    places with several positions are brought together afterwards.
+    """
+    lines = routes.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"), F.col("distance_km").cast("double").alias("distance_km"))
+    runs = lines.mapInArrow(lambda it: _runs(metres, it), RUNS)
     points = metric_points(places.select(F.col("id").alias("place_id"), "lat", "lon").distinct(), "place_id")
-    points = points.withColumns({"gx": cell(F.col("px"), size), "gy": cell(F.col("py"), size)})
-    near = geo.closest_on_segment(F.col("px"), F.col("py"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    hits = (
-        cells.join(points, ["gx", "gy"]).withColumn("c", near).where(F.col("c.d") <= metres).groupBy(F.col("id").alias("route_id"), "place_id")
-        .agg(F.min(F.struct(F.col("c.d").alias("d"), F.col("seq"), F.col("c.t").alias("t"), F.col("m").alias("m"))).alias("best"))
-    )
-    # distance to the segment's start: one running sum per route that has a hit
-    starts = segments.select(F.col("id").alias("route_id"), "seq", "m")
-    lengths = starts.groupBy("route_id").agg(F.sum("m").alias("total"), F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("steps"))
-    before = F.aggregate(F.filter("steps", lambda s: s["seq"] < F.col("best.seq")), F.lit(0.0), lambda a, s: a + s["m"])
-    km = (before + F.col("best.t") * F.col("best.m")) * F.col("distance_km") / F.col("total")
-    known = routes.select(F.col("id").alias("route_id"), "distance_km")
-    return hits.join(lengths, "route_id").join(known, "route_id").select("route_id", "place_id", geo.js_round(km, 1).alias("km"), geo.js_round(F.col("best.d")).alias("off_m"))
+    tile = (F.floor(F.col("px") / ALONG_M) * (1 << 20) + F.floor(F.col("py") / ALONG_M)).alias("tile")
+    points = points.select(tile, "place_id", "px", "py", F.count(F.lit(1)).over(W.partitionBy("place_id")).alias("positions"))
+    # groups of a few tiles: what is found in one is held at once
+    part = F.pmod(F.xxhash64("tile"), F.lit(64 * shuffle_partitions(routes.sparkSession))).alias("part")
+    kind = points.schema["place_id"].dataType.simpleString()
+    near = lambda some: runs.groupBy(part).cogroup(some.drop("positions").groupBy(part)).applyInArrow(
+        lambda a, b: _along(metres, a, b), f"route_id long, place_id {kind}, km double, off_m double, d double, seq int"
+    )
+    best = F.min(F.struct("d", "seq", "km", "off_m")).alias("best")
+    several = near(points.where("positions > 1 OR place_id IS NULL")).groupBy("route_id", "place_id").agg(best).select("route_id", "place_id", "best.km", "best.off_m")
+    return near(points.where("positions = 1 AND place_id IS NOT NULL")).select("route_id", "place_id", "km", "off_m").unionByName(several)
 
 
 def nearest(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
