@@ -331,13 +331,16 @@ def _metric(lat, lon) -> np.ndarray:
 PAIR = "a_id long, b_id long, min_distance_m double, a_shared_km double, b_shared_km double, a_shared_pct double, b_shared_pct double, reversed boolean"
 
 
-def _judge_pairs(metres: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_pairs(metres: float, batches: Iterator[pd.DataFrame], share: float | None = None) -> Iterator[pd.DataFrame]:
+    """Pairs within the distance; with a share, only those of which one line may be covered for it."""
     half_up = lambda v, d: np.floor(v * 10**d + 0.5) / 10**d
     tol = max(metres, 0.5)
     for pdf in batches:
         rows = []
         for i, j, ala, alo, bla, blo in zip(*(pdf[c] for c in ("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")), strict=True):
             a, b = _metric(ala, alo), _metric(bla, blo)
+            if share and not (_may_cover(a, b, tol, share) or _may_cover(b, a, tol, share)):
+                continue
             d = _closest(a, b)
             if d > metres:
                 continue
@@ -356,13 +359,8 @@ def proximity_pairs(routes: DataFrame, metres: float) -> DataFrame:
     cells = segment_cells(metric_segments(routes), metres / 2, size).select("id", "gx", "gy").distinct()
     b = cells.withColumnRenamed("id", "b_id")
     candidates = cells.withColumnRenamed("id", "a_id").join(b, ["gx", "gy"]).where("a_id < b_id").select("a_id", "b_id").distinct()
-    line = routes.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"))
-    left = line.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    right = line.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    joined = candidates.join(left, "a_id").join(right, "b_id").select("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")
-    # rows are small but dear: a fixed number of partitions, which AQE does not coalesce by their bytes
-    spread = joined.repartition(4 * shuffle_partitions(routes.sparkSession), "a_id", "b_id")
-    return spread.mapInPandas(lambda it: _judge_pairs(metres, it), PAIR)
+    lines = _lat_lon(routes)
+    return _with_lines(candidates, lines, lines).mapInPandas(lambda it: _judge_pairs(metres, it), PAIR)
 
 
 def similar_to(probe: tuple[list[float], list[float]], routes: DataFrame, metres: float = 50.0, overlap: float = 0.85) -> DataFrame:
@@ -393,20 +391,40 @@ def similar_to(probe: tuple[list[float], list[float]], routes: DataFrame, metres
 PROBED = "probe_id long, other_id long, a_in_b double, b_in_a double, very_similar boolean"
 PIECE_M = 100.0
 SIMILAR_CELL_M = 1000.0
-SIMILAR_BITS = 128
+#: Cells across a tile: the cells of a line in a tile are one 64-bit mask.
+TILE_CELLS = 8
+SIMILAR_WORDS = 8
+SIMILAR_BITS = 64 * SIMILAR_WORDS
+#: Counts of cells by their hash; they only order the cells of a line.
+CELL_COUNTS = 1 << 16
 #: Least metres that a flagged bit holds, of which the one that rules out most is taken.
 HELD_M = (2000.0, 1000.0, 700.0, 500.0, 300.0, 100.0)
+#: Pieces of a line that are looked at before its shared length is worked out.
+LOOKED_AT = 160
+_SIGNED = tuple(f"w{w}" for w in range(SIMILAR_WORDS))
+COVERING = "tile long, id long, mask long, " + ", ".join(f"{w} long" for w in _SIGNED)
+COVERED = "tile long, id long, mask long, off int, " + ", ".join(f"{w} long" for w in _SIGNED)
 
 
 def _around(xy: np.ndarray, reach: float) -> np.ndarray:
     """Cells of the corners of the boxes around places, (places, 4); no more cells meet a box smaller than a cell."""
     corners = xy[:, None, :] + reach * np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)])
     at = np.floor(corners / SIMILAR_CELL_M).astype(np.int64)
-    return at[..., 0] * (1 << 20) + at[..., 1]
+    return (at[..., 0] + (1 << 19)) * (1 << 20) + at[..., 1] + (1 << 19)
+
 
+def _hashed(cells: np.ndarray, values: int) -> np.ndarray:
+    return ((cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - values.bit_length() + 1)).astype(np.int64)
 
-def _bits(cells: np.ndarray) -> np.ndarray:
-    return ((cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIMILAR_BITS.bit_length() + 1)).astype(np.int64)
+
+def _tile_masks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tiles, masks): distinct cells by tile."""
+    x, y = cells >> 20, cells & ((1 << 20) - 1)
+    tile = (x // TILE_CELLS) * (1 << 20) + y // TILE_CELLS
+    tiles, number = np.unique(tile, return_inverse=True)
+    masks = np.zeros(len(tiles), dtype=np.uint64)
+    np.bitwise_or.at(masks, number, np.uint64(1) << (x % TILE_CELLS * TILE_CELLS + y % TILE_CELLS).astype(np.uint64))
+    return tiles, masks.view(np.int64)
 
 
 def _pieces(lat, lon) -> tuple[np.ndarray, float]:
@@ -418,80 +436,166 @@ def _pieces(lat, lon) -> tuple[np.ndarray, float]:
     return np.column_stack([np.interp(t, s, line[:, 0]), np.interp(t, s, line[:, 1])]), float(s[-1] / n)
 
 
-def _line_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every cell that a line touches, with a bitmap of them all."""
+def _cell_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(CELL_COUNTS, dtype=np.int64)
     for pdf in batches:
-        ids, cells, words = [], [], []
+        for la, lo in zip(pdf["lat"], pdf["lon"], strict=True):
+            total += np.bincount(_hashed(np.unique(_around(_pieces(la, lo)[0], PIECE_M / 2)), CELL_COUNTS), minlength=CELL_COUNTS)
+    (some,) = np.nonzero(total)
+    yield pd.DataFrame({"bucket": some.astype(np.int32), "n": total[some]})
+
+
+def _tile_rows(parts: list[tuple]) -> dict[str, np.ndarray]:
+    """Columns of (id, tiles, masks, flags) by line: one row a tile, each with all flags of the line."""
+    words = np.array([np.packbits(flags, bitorder="little").view(np.int64) for _, _, _, flags in parts])
+    n = [len(tiles) for _, tiles, _, _ in parts]
+    columns = {"tile": np.concatenate([t for _, t, _, _ in parts]), "id": np.repeat([i for i, _, _, _ in parts], n), "mask": np.concatenate([m for _, _, m, _ in parts])}
+    return columns | {w: np.repeat(words[:, k], n) for k, w in enumerate(_SIGNED)}
+
+
+def _covering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every cell that a line touches, by tile, with a bitmap of them all."""
+    for pdf in batches:
+        parts = []
         for i, la, lo in zip(pdf["id"], pdf["lat"], pdf["lon"], strict=True):
             own = np.unique(_around(_pieces(la, lo)[0], PIECE_M / 2))
             flags = np.zeros(SIMILAR_BITS, dtype=bool)
-            flags[_bits(own)] = True
-            ids.append(np.full(len(own), i))
-            cells.append(own)
-            words.append(np.tile(np.packbits(flags, bitorder="little").view(np.int64), (len(own), 1)))
-        if ids:
-            w = np.concatenate(words)
-            yield pd.DataFrame({"cell": np.concatenate(cells), "id": np.concatenate(ids), "s0": w[:, 0], "s1": w[:, 1]})
+            flags[_hashed(own, SIMILAR_BITS)] = True
+            parts.append((i, *_tile_masks(own), flags))
+        if parts:
+            yield pd.DataFrame(_tile_rows(parts))
 
 
-def _rare_part(often: dict[int, int], metres: float, share: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The cells about the pieces in the least used places that make up more of a line than may be off, and a bitmap of where it is long.
+def _covered(often: np.ndarray, metres: float, share: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells about the pieces in the least used places that make up more of a line than may be off, by tile, and a bitmap of where it is long.
 
     A line that is covered for the share has a piece of these within the distance of the other, which then touches one of the cells.
     """
     for pdf in batches:
-        rows = []
+        parts, offs = [], []
         for i, la, lo in zip(pdf["id"], pdf["lat"], pdf["lon"], strict=True):
             xy, piece = _pieces(la, lo)
-            if not piece:
-                continue
             near = _around(xy, PIECE_M / 2 + metres)
-            used = np.array([often.get(c, 0) for c in near.ravel().tolist()]).reshape(near.shape).max(axis=1)
+            used = often[_hashed(near, CELL_COUNTS)].max(axis=1)
             may = math.floor((1 - share) * len(xy) + 1e-9)
             rare = np.unique(near[np.argsort(used, kind="stable")[: may + 1]])
             # a piece counts for a bit where its box lies in one cell only
             inner = near[(near == near[:, :1]).all(axis=1), 0]
-            held = np.bincount(_bits(inner), minlength=SIMILAR_BITS) * piece
+            held = np.bincount(_hashed(inner, SIMILAR_BITS), minlength=SIMILAR_BITS) * piece
             off = (1 - share) * piece * len(xy) + 1e-6
             least = max(HELD_M, key=lambda m: m * (held >= m).sum() - m * (off // m))
-            h = np.packbits(held >= least, bitorder="little").view(np.int64)
-            rows += [(c, i, int(off // least), h[0], h[1]) for c in rare.tolist()]
-        yield pd.DataFrame(rows, columns=["cell", "id", "off", "h0", "h1"]).astype({"cell": "int64", "id": "int64", "off": "int32", "h0": "int64", "h1": "int64"})
+            parts.append((i, *_tile_masks(rare), held >= least))
+            offs += [int(off // least)] * len(parts[-1][1])
+        if parts:
+            rows = _tile_rows(parts)
+            yield pd.DataFrame({"tile": rows.pop("tile"), "id": rows.pop("id"), "mask": rows.pop("mask"), "off": np.array(offs, dtype=np.int32)} | rows)
+
+
+def _cover_pairs(covered: pd.DataFrame, covering: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that share a cell of a tile and whose bitmaps leave the share possible."""
+    covered, covering = (df.sort_values("tile", kind="stable", ignore_index=True) for df in (covered, covering))
+    ids, by = covered["id"].to_numpy(), covering["id"].to_numpy()
+    mask, touched = covered["mask"].to_numpy(), covering["mask"].to_numpy()
+    held, reach = ([df[w].to_numpy().view(np.uint64) for w in _SIGNED] for df in (covered, covering))
+    off = covered["off"].to_numpy()
+    tiles, first, count = np.unique(covered["tile"].to_numpy(), return_index=True, return_counts=True)
+    begin, end = (np.searchsorted(covering["tile"].to_numpy(), tiles, side=side) for side in ("left", "right"))
+    found = [np.empty((0, 2), dtype=np.int64)]
+    for n in np.flatnonzero(end > begin):
+        stop, step = first[n] + count[n], max(1, 1_000_000 // (end[n] - begin[n]))
+        for low in range(first[n], stop, step):
+            i, j = np.nonzero(mask[low : min(low + step, stop), None] & touched[begin[n] : end[n]])
+            i, j = i + low, j + begin[n]
+            apart = np.zeros(len(i), dtype=np.int16)
+            for h, s in zip(held, reach, strict=True):
+                apart += np.bitwise_count(h[i] & ~s[j])
+                near = apart <= off[i]
+                i, j, apart = i[near], j[near], apart[near]
+            found.append(np.column_stack([ids[i], by[j]])[ids[i] != by[j]])
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"covered": pairs[:, 0], "covering": pairs[:, 1]})
+
+
+def _may_cover(a: np.ndarray, b: np.ndarray, metres: float, share: float) -> bool:
+    """False only where pieces of a that b cannot reach make up more than may be off."""
+    s = np.r_[0.0, np.cumsum(np.hypot(*np.diff(a, axis=0).T))]
+    n = min(LOOKED_AT, 400_000 // len(b))
+    if n < 8 or not s[-1]:
+        return True
+    t = (np.arange(n) + 0.5) * s[-1] / n
+    p = np.column_stack([np.interp(t, s, a[:, 0]), np.interp(t, s, a[:, 1])])
+    q, d = b[:-1], np.diff(b, axis=0)
+    square = d[:, 0] ** 2 + d[:, 1] ** 2
+    x, y = p[:, :1] - q[:, 0], p[:, 1:] - q[:, 1]
+    f = np.clip((x * d[:, 0] + y * d[:, 1]) / np.where(square > 0, square, 1), 0, 1)
+    far = (((x - f * d[:, 0]) ** 2 + (y - f * d[:, 1]) ** 2) > (metres + s[-1] / n / 2 + 1e-3) ** 2).all(axis=1)
+    return int(far.sum()) <= (1 - share) * n + 1e-6
 
 
-def _judge_probes(metres: float, overlap: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_probes(metres: float, overlap: float, share: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for i, j, ala, alo, bla, blo in zip(*(pdf[c] for c in ("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")), strict=True):
             a, b = _metric(ala, alo), _metric(bla, blo)
-            x, y = (round(_within(p, q, metres) / float(np.hypot(*np.diff(p, axis=0).T).sum()), 3) for p, q in ((a, b), (b, a)))
+            if not (_may_cover(a, b, metres, share) or _may_cover(b, a, metres, share)):
+                continue
+            x, y = (round(_within(p, q, metres) / n, 3) if (n := float(np.hypot(*np.diff(p, axis=0).T).sum())) else 0.0 for p, q in ((a, b), (b, a)))
             if max(x, y) >= overlap:
                 rows.append((i, j, x, y, min(x, y) >= overlap))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROBED.split(", ")]).astype({"probe_id": "int64", "other_id": "int64", "a_in_b": "float64", "b_in_a": "float64", "very_similar": "bool"})
 
 
+def _lat_lon(lines: DataFrame) -> DataFrame:
+    return lines.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"))
+
+
+def _moving(lines: DataFrame) -> DataFrame:
+    return lines.where(F.exists("lat", lambda v: v != F.col("lat")[0]) | F.exists("lon", lambda v: v != F.col("lon")[0]))
+
+
+def _counts_of(lines: DataFrame):
+    """Broadcast counts of the cells that all lines touch."""
+    often = np.zeros(CELL_COUNTS, dtype=np.int64)
+    for r in lines.mapInPandas(_cell_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most CELL_COUNTS rows
+        often[r["bucket"]] = r["n"]
+    return lines.sparkSession.sparkContext.broadcast(often)
+
+
+def cover_candidates(lines: DataFrame, by: DataFrame, often, metres: float, share: float) -> DataFrame:
+    """(covered, covering), not distinct: no pair of a moving line and one of ``by`` that covers it for the share is left out.
+
+    The rare part of the line to be covered meets all cells of the other in the tiles of both; a bitmap bounds the covered length.
+    """
+    rare, cells = lines.mapInPandas(lambda it: _covered(often.value, metres, share, it), COVERED), by.mapInPandas(_covering, COVERING)
+    part = F.pmod(F.xxhash64("tile"), F.lit(8 * shuffle_partitions(lines.sparkSession))).alias("part")  # a group of its own for each tile is dear where tiles are near empty
+    return rare.groupBy(part).cogroup(cells.groupBy(part)).applyInPandas(_cover_pairs, "covered long, covering long")
+
+
+def _with_lines(candidates: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates (a_id, b_id) with both lines; few and dear, so in a fixed number of partitions, which AQE does not coalesce by their bytes."""
+    a, b = (df.select(F.col("id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon")) for df, k in ((left, "a"), (right, "b")))
+    joined = candidates.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")
+    return joined.repartition(4 * shuffle_partitions(candidates.sparkSession), "a_id", "b_id")
+
+
 def similar_to_each(probes: DataFrame, routes: DataFrame, metres: float = 50.0, overlap: float = 0.85) -> DataFrame:
     """(probe_id, other_id, a_in_b, b_in_a, very_similar): ``similar_to`` for every row of ``probes`` against all other ``routes``.
 
-    Both are (id, geometry) of usable lines. Candidates of each direction by an equi-join of the rare part of the line to be covered with all
-    cells of the other, and a bound of the covered length by bitmaps; neither leaves out a pair that the exact geometry accepts.
+    Both are (id, geometry) of usable lines. Candidates of each direction come from ``cover_candidates``; the exact geometry decides.
     """
     share = overlap - 0.0006  # shares are rounded to three digits before they are held against the overlap
-    lat_lon = lambda df: df.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"))
-    moves = F.exists("geometry", lambda p: (p["lat"] != F.col("geometry")[0]["lat"]) | (p["lon"] != F.col("geometry")[0]["lon"]))
-    some, all_lines = (cut(lat_lon(df.where(moves))) for df in (probes, routes))
-    all_cells, some_cells = (df.mapInPandas(_line_cells, "cell long, id long, s0 long, s1 long") for df in (all_lines, some))
-    # how often cells are used only orders them: one number a cell of the map, counted on a part of the lines
-    counted = all_lines.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).mapInPandas(_line_cells, "cell long, id long, s0 long, s1 long")
-    often = routes.sparkSession.sparkContext.broadcast(dict(map(tuple, counted.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(200_000).collect())))
-
-    def covered(lines: DataFrame, by: DataFrame, one: str, other: str) -> DataFrame:
-        rare = lines.mapInPandas(lambda it: _rare_part(often.value, metres, share, it), "cell long, id long, off int, h0 long, h1 long").withColumnRenamed("id", one)
-        apart = sum(F.bit_count(F.col(f"h{w}").bitwiseAND(F.bitwise_not(f"s{w}"))) for w in range(SIMILAR_BITS // 64))
-        return rare.join(by.withColumnRenamed("id", other), "cell").where((F.col("a_id") != F.col("b_id")) & (apart <= F.col("off"))).select("a_id", "b_id")
-
-    candidates = covered(some, all_cells, "a_id", "b_id").unionByName(covered(all_lines, some_cells, "b_id", "a_id")).distinct()
-    left, right = (df.select(F.col("id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon")) for df, k in ((some, "a"), (all_lines, "b")))
-    joined = candidates.join(left, "a_id").join(right, "b_id").select("a_id", "b_id", "a_lat", "a_lon", "b_lat", "b_lon")
-    spread = joined.repartition(4 * shuffle_partitions(routes.sparkSession), "a_id", "b_id")
-    return spread.mapInPandas(lambda it: _judge_probes(metres, overlap, it), PROBED)
+    some, all_lines = (cut(_moving(_lat_lon(df))) for df in (probes, routes))
+    often = _counts_of(all_lines)
+    one = cover_candidates(some, all_lines, often, metres, share).select(F.col("covered").alias("a_id"), F.col("covering").alias("b_id"))
+    two = cover_candidates(all_lines, some, often, metres, share).select(F.col("covering").alias("a_id"), F.col("covered").alias("b_id"))
+    return _with_lines(one.unionByName(two).distinct(), some, all_lines).mapInPandas(lambda it: _judge_probes(metres, overlap, share, it), PROBED)
+
+
+def duplicate_pairs(routes: DataFrame, metres: float, pct: float) -> DataFrame:
+    """``proximity_pairs`` of which one route is shared for the percentage, without the pairs that merely meet."""
+    share = pct / 100 - 0.0006  # percentages are rounded to one digit before they are held against the bound
+    lines = cut(_lat_lon(routes))
+    moving = _moving(lines)
+    found = cover_candidates(moving, lines, _counts_of(moving), metres, share)
+    pairs = found.select(F.least("covered", "covering").alias("a_id"), F.greatest("covered", "covering").alias("b_id")).distinct()
+    return _with_lines(pairs, lines, lines).mapInPandas(lambda it: _judge_pairs(metres, it, share), PAIR).where(F.greatest("a_shared_pct", "b_shared_pct") >= pct)

@@ -235,7 +235,7 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("duplicate_pairs")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.proximity_pairs(lines_of(spark, sf_dir), 50.0).where("greatest(a_shared_pct, b_shared_pct) >= 85")
+    return S.duplicate_pairs(lines_of(spark, sf_dir), 50.0, 85.0)
 
 
 @registry.query("similar_to_first")

@@ -52,3 +52,26 @@ def test_places_along_finds_every_place_at_its_first_nearest_point(spark):
         assert got[key][0] is None if at is None else np.isnan(got[key][0]) if np.isnan(at) else abs(got[key][0] - at) <= 0.05 + 1e-6
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # before: segments joined with places by cells
+
+
+def test_duplicate_pairs_are_the_shared_ones_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    lines = []
+    for i, km, geometry in _walks(10, 25):
+        la, lo = (np.array([p[c] for p in geometry]) for c in ("lat", "lon"))
+        near = rng.normal(0, 8, (2, len(la))) * METRE
+        for k, (a, o) in enumerate(((la, lo), (la[::-1] + near[0], lo[::-1] + near[1]), (la[: len(la) // 2 + 1], lo[: len(la) // 2 + 1]))):
+            if len(a) > 1:
+                lines.append((3 * i + k, km, [{"lat": float(p), "lon": float(q)} for p, q in zip(a, o, strict=True)]))
+    lines += [(900, 0.1, [{"lat": 51.02, "lon": 4.02}, {"lat": 51.0201, "lon": 4.0201}])]  # covered by a line without length
+    df = spark.createDataFrame(lines, LINE)
+    want = {tuple(r) for r in S.proximity_pairs(df, 50.0).where("greatest(a_shared_pct, b_shared_pct) >= 85").collect()}
+    got = [tuple(r) for r in S.duplicate_pairs(df, 50.0, 85.0).collect()]
+    assert set(got) == want and len(got) == len(want) > 40
+
+
+def test_counts_of_cells_are_those_of_all_lines(spark):
+    df = spark.createDataFrame(_walks(11, 30), LINE)
+    often = S._counts_of(S._lat_lon(df)).value
+    own = [np.unique(S._around(S._pieces(*([p[c] for p in r[2]] for c in ("lat", "lon")))[0], S.PIECE_M / 2)) for r in _walks(11, 30)]
+    assert often.sum() == sum(map(len, own))  # before: of every eighth line
