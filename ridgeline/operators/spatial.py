@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
+from ridgeline.operators.covering import covering_candidates
 from ridgeline.operators.meeting import pairs_within
 from ridgeline.operators.near_points import usable_position
 from ridgeline.operators.track import metric_segments
@@ -591,7 +592,6 @@ def duplicate_pairs(routes: DataFrame, metres: float, pct: float) -> DataFrame:
     """``proximity_pairs`` of which one route is shared for the percentage, without the pairs that merely meet."""
     share = pct / 100 - 0.0006  # percentages are rounded to one digit before they are held against the bound
     lines = cut(_lat_lon(routes))
-    moving = _moving(lines)
-    found = cover_candidates(moving, lines, _counts_of(moving), metres, share)
+    found = covering_candidates(lines, max(metres, 0.5), share)
     pairs = found.select(F.least("covered", "covering").alias("a_id"), F.greatest("covered", "covering").alias("b_id")).distinct()
     return _with_lines(pairs, lines, lines).mapInPandas(lambda it: _judge_pairs(metres, it, share), PAIR).where(F.greatest("a_shared_pct", "b_shared_pct") >= pct)

@@ -75,3 +75,36 @@ def test_counts_of_cells_are_those_of_all_lines(spark):
     often = S._counts_of(S._lat_lon(df)).value
     own = [np.unique(S._around(S._pieces(*([p[c] for p in r[2]] for c in ("lat", "lon")))[0], S.PIECE_M / 2)) for r in _walks(11, 30)]
     assert often.sum() == sum(map(len, own))  # before: of every eighth line
+
+
+def test_candidates_for_coverage_leave_out_lines_that_merely_cross(spark):
+    from ridgeline.operators.covering import covering_candidates
+
+    rng = np.random.default_rng(12)
+    lines = []
+    for i in range(1, 401):  # many lines in little room: nearly all meet
+        turn = np.cumsum(rng.normal(0, 0.5, 24))
+        la, lo = 51 + 0.08 * rng.random() + np.cumsum(900 * np.sin(turn)) * METRE, 4 + 0.12 * rng.random() + np.cumsum(900 * np.cos(turn)) * METRE / 0.63
+        lines.append((i, 1.0, la, lo))
+    for i in range(1, 41):  # a part of a line on a tile's border and a way back beside it
+        la, lo = lines[i - 1][2:]
+        lines += [(1000 + i, 1.0, la[:9], lo[:9]), (2000 + i, 1.0, la[::-1] + 20 * METRE, lo[::-1])]
+    df = spark.createDataFrame([(i, km, [{"lat": float(p), "lon": float(q)} for p, q in zip(la, lo, strict=True)]) for i, km, la, lo in lines], LINE)
+    met = S.proximity_pairs(df, 50.0)
+    want = {(r[0], r[1]) for r in met.where("greatest(a_shared_pct, b_shared_pct) >= 85").collect()}
+    flat = S.cut(S._lat_lon(df))
+    pairs = {tuple(sorted(r)) for r in covering_candidates(flat, 50.0, 0.8494).collect()}
+    before = {tuple(sorted(r)) for r in S.cover_candidates(S._moving(flat), flat, S._counts_of(flat), 50.0, 0.8494).collect()}
+    assert len(want) >= 80 and want <= pairs
+    assert len(pairs) < 1.5 * len(want) < len(before)
+    assert {(r[0], r[1]) for r in S.duplicate_pairs(df, 50.0, 85.0).collect()} == want
+
+
+def test_blocks_of_a_tile_of_many_lines_leave_no_pair_out(spark, monkeypatch):
+    from ridgeline.operators import covering
+
+    lines = S.cut(S._lat_lon(spark.createDataFrame(_walks(13, 60) + [(i + 500, *r) for i, *r in _walks(13, 60)], LINE)))
+    whole = {tuple(r) for r in covering.covering_candidates(lines, 50.0, 0.85).collect()}
+    monkeypatch.setattr(covering, "BLOCK_LINES", 7)
+    monkeypatch.setattr(covering, "PART_LINES", 5)
+    assert {tuple(r) for r in covering.covering_candidates(lines, 50.0, 0.85).collect()} == whole and len(whole) >= 120
