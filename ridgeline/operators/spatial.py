@@ -53,18 +53,18 @@ def segment_cells(segments: DataFrame, reach: float, size: float) -> DataFrame:
     )
 
 
-#: Edge of the tiles in which lines and places meet, and tests of a segment and a place at once.
-ALONG_M = 4000.0
-ALONG_TESTS = 200_000
-RUNS = "tile long, id long, distance_km double, total double, seq int, x array<double>, y array<double>, before array<double>"
+#: Edge of the tiles in which lines and places meet, strips of a tile, places of a block of a tile, and at once: tests of a segment and a place, pairs of a line and a place.
+ALONG_M, STRIP_M = 4000.0, 500.0
+ALONG_PLACES, ALONG_TESTS, ALONG_PAIRS = 20_000, 100_000, 300_000
+RUNS = "tile long, block int, line boolean, id long, distance_km double, total double, at array<int>, x array<double>, y array<double>, before array<double>"
 
 
 def _tile_of(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
     return gx.astype(np.int64) * (1 << 20) + gy.astype(np.int64)
 
 
-def _runs(metres: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of lines within the distance of a tile: points of runs of segments, with the metres before each."""
+def _runs(metres: float, blocks: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of each line within the distance of a tile, for each block of its places: points with their number and the metres before each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -80,6 +80,10 @@ def _runs(metres: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         m = np.zeros(len(x))
         m[seg + 1] = np.sqrt(dx * dx + dy * dy)
         before = np.concatenate([np.cumsum(m[low : high + 1]) for low, high in zip(last - n + 1, last, strict=True)])
+        known = np.isfinite(dx) & np.isfinite(dy)
+        seg, dx, dy = seg[known], dx[known], dy[known]
+        if not len(seg):
+            continue
         # long segments in parts, so that a box stays small
         parts = np.maximum(1, np.ceil(m[seg + 1] / ALONG_M)).astype(np.int64)
         owner = np.repeat(np.arange(len(seg)), parts)
@@ -99,97 +103,157 @@ def _runs(metres: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         same = (tile[1:] == tile[:-1]) & (own[1:] == own[:-1])
         once = np.r_[True, ~(same & (at[1:] == at[:-1]))]
         tile, at, own = tile[once], at[once], own[once]
-        begin = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
-        points = np.diff(np.r_[begin, len(at)]) + 1
-        offsets = np.r_[0, np.cumsum(points)]
-        index = np.arange(offsets[-1]) + np.repeat(at[begin] - offsets[:-1], points)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v[index])) for v in (x, y, before)]
-        which = own[begin]
-        seq = (at[begin] - (last - n + 1)[which]).astype(np.int32)
-        take = pa.array(which)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tile[begin]), batch.column("id").take(take), batch.column("distance_km").take(take), pa.array(before[last][which]), pa.array(seq), *lists],
-            names=[c.split()[0] for c in RUNS.split(", ")],
-        )
-
-
-def _along(metres: float, runs: pa.Table, places: pa.Table) -> pa.Table:
-    """The nearest place of each line to each place of the tiles of a group; a line has its runs of a tile here, so nothing is left to bring together."""
-    runs, places = runs.sort_by([("tile", "ascending"), ("id", "ascending"), ("seq", "ascending")]), places.sort_by([("tile", "ascending"), ("px", "ascending")])
-    runs = runs.append_column("unknown", runs.column("distance_km").is_null())
-    column = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-    flat = lambda c: np.concatenate([np.empty(0), *(v.flatten().to_numpy(zero_copy_only=False) for v in runs.column(c).chunks)])
-    px, py, there = (column(places, c) for c in ("px", "py", "tile"))
-    x, y, before = (flat(c) for c in ("x", "y", "before"))
-    points = np.concatenate([np.empty(0, dtype=np.int64), *(v.value_lengths().to_numpy(zero_copy_only=False) for v in runs.column("x").chunks)])
-    run = np.repeat(np.arange(len(points)), points)
-    inner = np.ones(len(x), dtype=bool)
-    inner[np.cumsum(points) - 1] = False
-    at = np.flatnonzero(inner)
-    run = run[at]
-    seq = column(runs, "seq")[run] + (at - (np.cumsum(points) - points)[run])
-    ids, tile = column(runs, "id")[run], column(runs, "tile")[run]
-    x1, y1, x2, y2 = x[at], y[at], x[at + 1], y[at + 1]
-    # places of the tile whose x is in reach: the keys of places are in order by tile and x
-    low, high = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-    tiles, first, count = np.unique(there, return_index=True, return_counts=True)
-    for t, f, c in zip(tiles, first, count, strict=True):
-        own = slice(*np.searchsorted(tile, [t, t + 1]))
-        low[own] = f + np.searchsorted(px[f : f + c], np.minimum(x1[own], x2[own]) - metres - 1)
-        high[own] = f + np.searchsorted(px[f : f + c], np.maximum(x1[own], x2[own]) + metres + 1, side="right")
-    tests = np.cumsum(np.r_[0, high - low])
-    # lines of a tile are not parted
-    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tile[1:] != tile[:-1])]) if len(at) else np.empty(0, dtype=np.int64)
-    bounds = [0]
-    for s in starts[1:].tolist():
-        if tests[s] - tests[bounds[-1]] >= ALONG_TESTS:
-            bounds.append(s)
-    found = [[np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)] * 2]
-    for one, two in zip(bounds, [*bounds[1:], len(at)], strict=True):
-        some = high[one:two] - low[one:two]
-        s = np.repeat(np.arange(one, two), some)
-        p = np.arange(len(s)) + np.repeat(low[one:two] - (np.cumsum(some) - some), some)
-        near = (py[p] >= np.minimum(y1, y2)[s] - metres) & (py[p] <= np.maximum(y1, y2)[s] + metres)
-        s, p = s[near], p[near]
-        dx, dy = (x2 - x1)[s], (y2 - y1)[s]
+        # both ends of each segment, once for each line and tile
+        heads = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (own[1:] != own[:-1])])
+        group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(at)]))
+        ends = np.unique(np.r_[group * len(x) + at, group * len(x) + at + 1])
+        group, index = ends // len(x), ends % len(x)
+        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        tile, which = tile[heads], line[index[begin]]
+        offsets = pa.array(np.r_[begin, len(index)].astype(np.int32))
+        number = (index - (last - n + 1)[line[index]]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (number, x[index], y[index], before[index])]
+        many = np.array([blocks.get(t, 1) for t in tile.tolist()], dtype=np.int64)
+        row = np.repeat(np.arange(len(begin)), many)
+        block = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+        for low in range(0, len(row), 10_000):
+            r = row[low : low + 10_000]
+            take, of = pa.array(r), pa.array(which[r])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tile[r]), pa.array(block[low : low + 10_000]), pa.array(np.ones(len(r), dtype=bool)), batch.column("id").take(of), batch.column("distance_km").take(of), pa.array(before[last][which[r]]), *(v.take(take) for v in lists)],
+                names=[c.split()[0] for c in RUNS.split(", ")],
+            )
+
+
+class _Places:
+    """The places of a block of a tile, by strip and y."""
+
+    def __init__(self, tile: int, rows: pa.Table) -> None:
+        x, y = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("px", "py"))
+        tx = (tile + (1 << 19)) >> 20
+        self.x0, self.y0 = tx * ALONG_M, (tile - tx * (1 << 20)) * ALONG_M
+        key = self._key(self.strip(x), y)
+        order = np.argsort(key, kind="stable")
+        self.key, self.x, self.y, self.ids = key[order], x[order], y[order], rows.column("place_id").combine_chunks().take(pa.array(order))
+
+    def strip(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((x - self.x0) / STRIP_M), 0, ALONG_M // STRIP_M - 1)
+
+    def _key(self, strip: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return strip * (4 * ALONG_M) + np.clip(y - self.y0, -2.0, ALONG_M + 2)
+
+    def near(self, x: np.ndarray, y: np.ndarray, dx: np.ndarray, dy: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first, last): the places of each strip among which those within the distance of a segment are."""
+        reach = metres + 1
+        low, high = np.minimum(x, x + dx) - reach, np.maximum(x, x + dx) + reach
+        s0 = self.strip(low).astype(np.int64)
+        count = np.where((high < self.x0) | (low > self.x0 + ALONG_M), 0, self.strip(high).astype(np.int64) - s0 + 1)
+        s = np.repeat(np.arange(len(x)), count)
+        strip = np.arange(len(s)) + np.repeat(s0 - (np.cumsum(count) - count), count)
+        edge, x, y, dx, dy = self.x0 + strip * STRIP_M, x[s], y[s], dx[s], dy[s]
+        run = np.where(dx == 0, 1, dx)  # of a segment, the part whose x is within reach of the strip
+        ends = [y + np.where(dx == 0, side, np.clip((edge + along - x) / run, 0, 1)) * dy for side, along in ((0, -reach), (1, STRIP_M + reach))]
+        first = np.searchsorted(self.key, self._key(strip, np.minimum(*ends) - reach))
+        last = np.searchsorted(self.key, self._key(strip, np.maximum(*ends) + reach), side="right")
+        some = last > first
+        return s[some], first[some], last[some]
+
+    def along(self, metres: float, rows: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
+        """The nearest place of each line to each place, where it first is nearest."""
+        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        number, x, y, before = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "x", "y", "before"))
+        row = np.repeat(np.arange(rows.num_rows), rows.column("at").value_lengths().to_numpy(zero_copy_only=False))
+        at = np.flatnonzero((row[1:] == row[:-1]) & (number[1:] == number[:-1] + 1))
+        row, seq, before, x2, y2, x, y = row[at], number[at], before[at], x[at + 1], y[at + 1], x[at], y[at]
+        dx, dy = x2 - x, y2 - y
         m = np.sqrt(dx * dx + dy * dy)
-        t = np.where(m > 0, np.clip(((px[p] - x1[s]) * dx + (py[p] - y1[s]) * dy) / np.where(m > 0, m * m, 1), 0.0, 1.0), 0.0)
-        d = np.sqrt((px[p] - (x1[s] + t * dx)) ** 2 + (py[p] - (y1[s] + t * dy)) ** 2)
-        (near,) = np.nonzero(d <= metres)
-        s, p, d, place_m = s[near], p[near], d[near], (before[at[s[near]]] + t[near] * m[near])
-        order = np.lexsort([seq[s], d, p, ids[s]])
-        s, p, d, place_m = s[order], p[order], d[order], place_m[order]
-        best = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (ids[s][1:] != ids[s][:-1])]) if len(s) else np.empty(0, dtype=np.int64)
-        found.append([s[best], p[best], d[best], place_m[best]])
-    s, p, d, place_m = (np.concatenate(v) for v in zip(*found, strict=True))
-    scaled, total = column(runs, "distance_km").astype(float)[run[s]], column(runs, "total")[run[s]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        km = np.floor(place_m * scaled / total * 10 + 0.5) / 10
-    unknown = column(runs, "unknown")[run[s]]
-    columns = [pa.array(ids[s]), places.column("place_id").combine_chunks().take(pa.array(p)), pa.array(km, mask=unknown), pa.array(np.floor(d + 0.5)), pa.array(d), pa.array(seq[s].astype(np.int32))]
-    return pa.Table.from_arrays(columns, names=["route_id", "place_id", "km", "off_m", "d", "seq"])
+        square = np.where(m > 0, m * m, 1)
+        s, first, last = self.near(x, y, dx, dy, metres)
+        tests = np.cumsum(np.r_[0, last - first])
+        ids, scaled, total, unknown = column("id"), column("distance_km").astype(float), column("total"), rows.column("distance_km").is_null().to_numpy(zero_copy_only=False)
+        here, step = len(self.x), max(1, ALONG_PAIRS // len(self.x))
+        for top in range(0, rows.num_rows, step):
+            pairs = min(step, rows.num_rows - top) * here
+            least, place_m, which = np.full(pairs, np.inf), np.empty(pairs), np.empty(pairs, dtype=np.int32)
+            low, stop = np.searchsorted(row[s], [top, top + step])
+            while low < stop:
+                high = min(stop, max(low + 1, int(np.searchsorted(tests, tests[low] + ALONG_TESTS))))
+                n = last[low:high] - first[low:high]
+                f = np.repeat(s[low:high], n)
+                p = np.arange(len(f)) + np.repeat(first[low:high] - (np.cumsum(n) - n), n)
+                px, py, x1, y1, vx, vy = self.x[p], self.y[p], x[f], y[f], dx[f], dy[f]
+                t = np.where(m[f] > 0, np.clip(((px - x1) * vx + (py - y1) * vy) / square[f], 0.0, 1.0), 0.0)
+                d = np.sqrt((px - (x1 + t * vx)) ** 2 + (py - (y1 + t * vy)) ** 2)
+                (hit,) = np.nonzero(d <= metres)
+                f, d, t = f[hit], d[hit], t[hit]
+                pair = (row[f] - top) * here + p[hit]
+                old = least[pair]
+                np.minimum.at(least, pair, d)
+                better = np.flatnonzero((d == least[pair]) & (d < old))[::-1]  # of equals the first is written last
+                place_m[pair[better]], which[pair[better]] = before[f[better]] + t[better] * m[f[better]], seq[f[better]]
+                low = high
+            (found,) = np.nonzero(least < np.inf)
+            if not len(found):
+                continue
+            r, d = found // here + top, least[found]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                km = np.floor(place_m[found] * scaled[r] / total[r] * 10 + 0.5) / 10
+            columns = [pa.array(ids[r]), self.ids.take(pa.array(found % here)), pa.array(km, mask=unknown[r]), pa.array(np.floor(d + 0.5)), pa.array(d), pa.array(which[found])]
+            yield dict(zip(("route_id", "place_id", "km", "off_m", "d", "seq"), columns, strict=True))
+
+
+def _along(metres: float, several: bool, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile and block, places first; of these the ones with several positions or the others are held, lines pass by."""
+    key, held, places = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "block", "line")]
+        begins = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]).tolist()
+        for low, high in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+            if (now := (int(keys[0][low]), int(keys[1][low]))) != key:
+                key, held, places = now, [], None
+            rows = batch.slice(low, high - low)
+            if not keys[2][low]:
+                rows = rows.select(["place_id", "px", "py", "several"])
+                held.append(rows.filter(rows.column("several") if several else pa.array(~rows.column("several").to_numpy(zero_copy_only=False))))
+                continue
+            if held:
+                of = pa.Table.from_batches(held)
+                places, held = _Places(key[0], of) if of.num_rows else None, []
+            if places:
+                for found in places.along(metres, rows):
+                    yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names)
 
 
 def places_along(routes: DataFrame, places: DataFrame, metres: float) -> DataFrame:
     """(route_id, place_id, km, off_m): places within the distance of a route, where it first is nearest; km scaled to the route's own distance.
 
-    Lines are shuffled once, as the runs of segments near each tile; a place is in one tile, so what is found there is complete. Only
-    places with several positions are brought together afterwards.
+    Lines are shuffled once, as their parts near each tile, and pass by the places of the tile; a place is in one tile, so what is found
+    there is complete. Only places with several positions are brought together afterwards.
     """
     lines = routes.select("id", F.col("geometry.lat").alias("lat"), F.col("geometry.lon").alias("lon"), F.col("distance_km").cast("double").alias("distance_km"))
-    runs = lines.mapInArrow(lambda it: _runs(metres, it), RUNS)
     points = metric_points(places.select(F.col("id").alias("place_id"), "lat", "lon").distinct(), "place_id")
     tile = (F.floor(F.col("px") / ALONG_M) * (1 << 20) + F.floor(F.col("py") / ALONG_M)).alias("tile")
-    points = points.select(tile, "place_id", "px", "py", F.count(F.lit(1)).over(W.partitionBy("place_id")).alias("positions"))
-    # groups of a few tiles: what is found in one is held at once
-    part = F.pmod(F.xxhash64("tile"), F.lit(64 * shuffle_partitions(routes.sparkSession))).alias("part")
+    several = (F.col("place_id").isNull() | (F.count(F.lit(1)).over(W.partitionBy("place_id")) > 1)).alias("several")
+    points = cut(points.select(tile, F.lit(False).alias("line"), "place_id", "px", "py", several))
+    blocks = {r["tile"]: -(-r["n"] // ALONG_PLACES) for r in points.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ALONG_PLACES).collect()}  # only tiles of over ALONG_PLACES
+    many = F.coalesce(F.create_map(*(F.lit(v) for pair in blocks.items() for v in pair))[F.col("tile")], F.lit(1)) if blocks else F.lit(1)
+    points = points.withColumn("block", F.pmod(F.xxhash64("px", "py"), many).cast("int"))
+    runs = lines.mapInArrow(lambda it: _runs(metres, blocks, it), RUNS)
+    # a fixed number of partitions, of a few tiles each
+    apart = runs.unionByName(points, allowMissingColumns=True).repartition(8 * shuffle_partitions(routes.sparkSession), "tile", "block").sortWithinPartitions("tile", "block", "line")
     kind = points.schema["place_id"].dataType.simpleString()
-    near = lambda some: runs.groupBy(part).cogroup(some.drop("positions").groupBy(part)).applyInArrow(
-        lambda a, b: _along(metres, a, b), f"route_id long, place_id {kind}, km double, off_m double, d double, seq int"
-    )
+    kinds = {"route_id": "long", "place_id": kind, "km": "double", "off_m": "double", "d": "double", "seq": "int"}
+
+    def near(some: bool, *names: str) -> DataFrame:
+        return apart.mapInArrow(lambda it: _along(metres, some, list(names), it), ", ".join(f"{n} {kinds[n]}" for n in names))
+
+    found = near(False, "route_id", "place_id", "km", "off_m")
+    if points.where("several").isEmpty():
+        return found
     best = F.min(F.struct("d", "seq", "km", "off_m")).alias("best")
-    several = near(points.where("positions > 1 OR place_id IS NULL")).groupBy("route_id", "place_id").agg(best).select("route_id", "place_id", "best.km", "best.off_m")
-    return near(points.where("positions = 1 AND place_id IS NOT NULL")).select("route_id", "place_id", "km", "off_m").unionByName(several)
+    return found.unionByName(near(True, *kinds).groupBy("route_id", "place_id").agg(best).select("route_id", "place_id", "best.km", "best.off_m"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:

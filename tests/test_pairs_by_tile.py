@@ -108,3 +108,15 @@ def test_blocks_of_a_tile_of_many_lines_leave_no_pair_out(spark, monkeypatch):
     monkeypatch.setattr(covering, "BLOCK_LINES", 7)
     monkeypatch.setattr(covering, "PART_LINES", 5)
     assert {tuple(r) for r in covering.covering_candidates(lines, 50.0, 0.85).collect()} == whole and len(whole) >= 120
+
+
+def test_places_along_holds_no_more_than_a_block_of_places_and_what_is_found_in_a_step(spark, monkeypatch):
+    lines = spark.createDataFrame(_walks(14, 60), LINE)
+    rng = np.random.default_rng(15)
+    places = spark.createDataFrame([(i, 51 + float(rng.uniform(0, 0.05)), 4 + float(rng.uniform(0, 0.05))) for i in range(3000)] + [(7, 51.02, 4.02), (None, 51.03, 4.03)], "id long, lat double, lon double")
+    whole = sorted(map(str, S.places_along(lines, places, 200.0).collect()))
+    for name, value in (("ALONG_PLACES", 100), ("ALONG_PAIRS", 300), ("ALONG_TESTS", 64)):
+        monkeypatch.setattr(S, name, value)
+    df = S.places_along(lines, places, 200.0)
+    assert sorted(map(str, df.collect())) == whole and len(whole) > 2000
+    assert "CoGroup" not in df._jdf.queryExecution().executedPlan().toString()  # before: all that a few tiles hold, and all that was found there, at once
