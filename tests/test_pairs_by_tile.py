@@ -86,7 +86,7 @@ def test_candidates_for_coverage_leave_out_lines_that_merely_cross(spark):
         turn = np.cumsum(rng.normal(0, 0.5, 24))
         la, lo = 51 + 0.08 * rng.random() + np.cumsum(900 * np.sin(turn)) * METRE, 4 + 0.12 * rng.random() + np.cumsum(900 * np.cos(turn)) * METRE / 0.63
         lines.append((i, 1.0, la, lo))
-    for i in range(1, 41):  # a part of a line on a tile's border and a way back beside it
+    for i in range(1, 41):  # a part of a line, and a way back beside it
         la, lo = lines[i - 1][2:]
         lines += [(1000 + i, 1.0, la[:9], lo[:9]), (2000 + i, 1.0, la[::-1] + 20 * METRE, lo[::-1])]
     df = spark.createDataFrame([(i, km, [{"lat": float(p), "lon": float(q)} for p, q in zip(la, lo, strict=True)]) for i, km, la, lo in lines], LINE)
